@@ -1,0 +1,31 @@
+"""Gapless numbers within groups of any size, without one task for a group.
+
+Rows of a group are dealt into buckets by the top bits of a hash. Each (group, bucket) numbers its own rows,
+a running sum over the bucket counts gives each bucket's first number. Order: the hash, then `order`."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+HASH_BITS = 60
+#: Rows of a bucket when a group holds all rows; at least MIN_BITS bits even for small tables.
+BUCKET_ROWS, MIN_BITS = 65_536, 6
+
+
+def hash60(*cols: Column) -> Column:
+    """60 bits of MD5 over the columns' text, the same in any SQL engine."""
+    text = F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("\\N")) for c in cols))
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def numbered(df: DataFrame, by: str, hashed: str, order: list[str], rows: int, name: str) -> DataFrame:
+    bits = max(MIN_BITS, (max(rows, 1) // BUCKET_ROWS).bit_length())
+    df = df.withColumn("bucket_", F.shiftright(hashed, HASH_BITS - bits))
+    w = W.partitionBy(by, "bucket_")
+    within = df.withColumn("within_", F.row_number().over(w.orderBy(hashed, *order)).cast("long") - 1)
+    counts = df.groupBy(by, "bucket_").agg(F.count(F.lit(1)).alias("n_"))
+    first = counts.select(F.col(by).alias("by_"), F.col("bucket_").alias("b_"), (F.sum("n_").over(W.partitionBy(by).orderBy("bucket_")) - F.col("n_")).alias("first_"))
+    out = within.join(first, (F.col(by) == F.col("by_")) & (F.col("bucket_") == F.col("b_")))
+    return out.withColumn(name, (F.col("first_") + F.col("within_")).cast("long")).drop("bucket_", "within_", "by_", "b_", "first_")
