@@ -51,6 +51,10 @@ def _digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
+def _luhn(c: Column) -> Column:
+    return F.call_function("luhn_check", c)
+
+
 def _octets(c: Column) -> Column:
     return F.forall(F.split(c, r"\."), lambda p: p.rlike("^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"))
 
@@ -58,7 +62,7 @@ def _octets(c: Column) -> Column:
 KEEP = {
     "email": lambda m: F.lit(True),
     "ip": _octets,
-    "card": lambda m: F.length(_digits(m)).between(14, 19) & F.luhn_check(_digits(m)),
+    "card": lambda m: F.length(_digits(m)).between(14, 19) & _luhn(_digits(m)),
     "phone": lambda m: F.length(_digits(m)).between(10, 15),
 }
 
@@ -94,7 +98,7 @@ def _features(t: Column, start: Column, end: Column, generator: int, kind: str)
         F.length(m).cast("double"),
         F.length(digits).cast("double"),
         _count(m, " ./-_"),
-        flag(F.luhn_check(F.when(digits == "", "1").otherwise(digits))),
+        flag(_luhn(F.when(digits == "", "1").otherwise(digits))),
         F.size(F.array_distinct(F.split(digits, ""))).cast("double"),
         flag(before.rlike(CUES[kind])),
         flag(after.rlike(CUES[kind])),

@@ -2,7 +2,7 @@
 often each is right without labels, and the posterior probability of a good document replaces "all rules must pass".
 
 All features are built-in functions over whole texts. The model's statistics are counts of vote patterns over all
-documents, at most 3 ** rules of them, whatever the corpus size; so the estimation itself runs at the driver.
+documents, at most 3 ** rules (2 for a rule with two outcomes) of them, whatever the corpus size; so the estimation itself runs at the driver.
 
 Nulls and texts without words: zero words, base_failed. Ties need no rule: each row is judged by itself."""
 
@@ -19,16 +19,19 @@ from terrane.llm.common import whole
 BLANK = r"[\x20\x09-\x0D]+"
 N, SYMBOLS = 8, "#*$%&|<>"
 
-#: name: (bad if, good if), over the features; neither: the rule abstains.
+#: name: (bad if, good if), over the features; neither: the rule abstains. A rule for one defect never votes good.
 RULES: dict[str, tuple[str, str]] = {
     "length": ("n_words < 20", "n_words >= 50"),
-    "repeats": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 5 * n_words"),
-    "symbols": ("4 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-    "lines": ("n_dup_lines > 2 and 4 * n_dup_lines > n_lines", "n_dup_lines = 0"),
-    "capitals": ("2 * n_upper > n_letters", "5 * n_upper <= n_letters and n_letters > 0"),
     "word_length": ("word_chars > 15 * n_words or word_chars < 2 * n_words", "word_chars between 3 * n_words and 10 * n_words"),
-    "variety": ("n_words >= 50 and 10 * n_distinct < n_words", "4 * n_distinct >= n_words"),
     "sentences": ("n_words >= 50 and 200 * n_stops < n_words", "50 * n_stops >= n_words and 3 * n_stops <= n_words"),
+    "repeats": ("100 * n_repeat_words > 30 * n_words", "false"),
+    "variety": ("n_words >= 50 and 10 * n_distinct < n_words", "false"),
+    "lines": ("n_dup_lines > 2 and 4 * n_dup_lines > n_lines", "false"),
+    "symbols": ("4 * n_symbols > n_words", "false"),
+    "density": ("20 * n_symbols > word_chars", "false"),
+    "letters": ("100 * n_letters < 60 * word_chars", "false"),
+    "capitals": ("2 * n_upper > n_letters", "false"),
+    "shouting": ("n_words >= 20 and 4 * n_stops > n_words", "false"),
 }
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_distinct", "n_stops"]
 
@@ -77,47 +80,55 @@ def votes(q: str = "q_") -> Column:
     return F.concat(*(F.expr(f"case when {bad} then '0' when {good} then '1' else '-' end") for bad, good in prefixed.values()))
 
 
+Rates = list[tuple[dict[str, float], dict[str, float]]]
+#: How often a rule votes 0, 1 or abstains on a bad and on a good document, before any data.
+PRIOR, START = 0.8, ({"0": 0.3, "1": 0.2, "-": 0.5}, {"0": 0.02, "1": 0.48, "-": 0.5})
+
+
 class LabelModel:
-    """Rules are independent given the class. rate[rule][c]: how often a vote on a document of class c is 1."""
+    """Rules are independent given the class; abstaining counts as an outcome, as a defect's absence says something too."""
 
-    def __init__(self, prior: float, rates: list[tuple[float, float]]) -> None:
+    def __init__(self, prior: float, rates: Rates) -> None:
         self.prior, self.rates = prior, rates
 
-    def log_odds(self, pattern: str) -> float:
-        return math.log(self.prior / (1 - self.prior)) + sum(w[v] for v, w in zip(pattern, self.weights(), strict=True) if v != "-")
-
     def weights(self) -> list[dict[str, float]]:
-        return [{"1": math.log(good / bad), "0": math.log((1 - good) / (1 - bad))} for bad, good in self.rates]
+        return [{v: math.log(good[v] / bad[v]) for v in "01-"} for bad, good in self.rates]
+
+    def base(self) -> float:
+        return math.log(self.prior / (1 - self.prior))
+
+    def log_odds(self, pattern: str) -> float:
+        return self.base() + sum(w[v] for v, w in zip(pattern, self.weights(), strict=True))
 
     def column(self, pattern: Column) -> Column:
-        odds = F.lit(math.log(self.prior / (1 - self.prior)))
+        odds = F.lit(self.base())
         for k, w in enumerate(self.weights()):
             v = F.substring(pattern, k + 1, 1)
-            odds = odds + F.when(v == "1", F.lit(w["1"])).when(v == "0", F.lit(w["0"])).otherwise(F.lit(0.0))
+            odds = odds + F.when(v == "1", F.lit(w["1"])).when(v == "0", F.lit(w["0"])).otherwise(F.lit(w["-"]))
         return 1 / (1 + F.exp(-odds))
 
 
-def estimate(counts: Mapping[str, int], rounds: int = 100) -> LabelModel:
-    """Expectation-maximisation over pattern counts. Starts from rules that are right four times in five; as many
-    pseudo-votes as a hundredth of the documents hold them near that, so that classes can't change places."""
+def estimate(counts: Mapping[str, int], rounds: int = 200) -> LabelModel:
+    """Expectation-maximisation over pattern counts. As many pseudo-votes as a hundredth of the documents hold the rates
+    near their start, so that the classes can't change places."""
     n, rules = sum(counts.values()), len(RULES)
-    model = LabelModel(0.8, [(0.2, 0.8)] * rules)
+    model = LabelModel(PRIOR, [START] * rules)
     if not n:
         return model
     held = max(10.0, n / 100)
     for _ in range(rounds):
-        good, votes_of = 0.0, [[[0.2 * held, held], [0.8 * held, held]] for _ in range(rules)]
+        good, votes_of = 0.0, [tuple({v: held * s[v] for v in "01-"} for s in START) for _ in range(rules)]
+        weights, base = model.weights(), model.base()
         for pattern, c in sorted(counts.items()):
-            p = 1 / (1 + math.exp(-max(-500, min(500, model.log_odds(pattern)))))
+            odds = base + sum(w[v] for v, w in zip(pattern, weights, strict=True))
+            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
             good += c * p
             for k, v in enumerate(pattern):
-                if v != "-":
-                    for y, share in ((0, 1 - p), (1, p)):
-                        votes_of[k][y][0] += c * share * (v == "1")
-                        votes_of[k][y][1] += c * share
-        prior = (good + 0.8 * held) / (n + held)
-        new = LabelModel(min(max(prior, 1e-4), 1 - 1e-4), [tuple(a / b for a, b in x) for x in votes_of])
-        done = max(abs(a - b) for x, y in zip(new.rates, model.rates, strict=True) for a, b in zip(x, y, strict=True)) < 1e-9
+                votes_of[k][0][v] += c * (1 - p)
+                votes_of[k][1][v] += c * p
+        rates = [tuple({v: x / sum(side.values()) for v, x in side.items()} for side in pair) for pair in votes_of]
+        new = LabelModel((good + PRIOR * held) / (n + held), rates)
+        done = max(abs(a[v] - b[v]) for x, y in zip(rates, model.rates, strict=True) for a, b in zip(x, y, strict=True) for v in "01-") < 1e-9
         model = new
         if done:
             break
@@ -125,7 +136,7 @@ def estimate(counts: Mapping[str, int], rounds: int = 100) -> LabelModel:
 
 
 def fitted(featured: DataFrame) -> LabelModel:
-    """From all rows; the patterns that reach the driver are at most 3 ** len(RULES)."""
+    """From all rows; the patterns that reach the driver are 2 ** 8 * 3 ** 3 at most."""
     return estimate({r["v"]: r["n"] for r in featured.select(votes().alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()})
 
 
