@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,9 @@ SPACE = "▁"
 NONE = float("-inf")
 CHUNK = 1 << 16
 #: Segments, states and pairs that a worker remembers.
-MEMORY = 400_000
+MEMORY = 300_000
+#: Columns of the transition table; rarer characters take the slow way, as do segments of over STEPS characters.
+WIDTH, ALONE, LATER, STEPS = 128, 255, 254, 64
 
 
 @dataclass(frozen=True)
@@ -53,6 +56,7 @@ class Transducer:
         inner = {c for p in self.score if len(p) > 1 for c in p} | {SPACE}
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
             raise ValueError("a piece goes over a word start")
+        self.inner = inner
         letters = re.escape("".join(sorted(inner - {SPACE})))
         #: A run of word starts with letters after it, letters, or one other character.
         self.segment = re.compile(f"{SPACE}+[{letters}]*|[{letters}]+|.", re.DOTALL)
@@ -61,6 +65,11 @@ class Transducer:
         self.states: dict[tuple, int] = {}
         self.made: list[tuple[str, tuple[str, ...], tuple[int, ...]]] = []
         self.moves: list[dict[str, tuple[int, int]]] = []
+        self.columns: dict[str, int] = {}
+        #: For each code of the basic plane: the column of a character inside pieces, ALONE or LATER (none yet); its tokens if alone.
+        self.column_of = np.full(1 << 16, ALONE, dtype=np.uint8)
+        self.weight_of = np.array([1 if chr(c) in self.score else 1 + (c > 0x7F) + (c > 0x7FF) for c in range(1 << 16)], dtype=np.int8)
+        self.column_of[[ord(c) for c in inner if ord(c) < 1 << 16]] = LATER
         self._reset()
 
     def _reset(self) -> None:
@@ -68,6 +77,8 @@ class Transducer:
         self.pairs.clear()
         self.made.clear()
         self.moves.clear()
+        self.next = np.full(1024 * WIDTH, -1, dtype=np.int32)
+        self.change = np.zeros(1024 * WIDTH, dtype=np.int8)
         self._state(("", ("",), (0,)))
 
     def _state(self, s: tuple[str, tuple[str, ...], tuple[int, ...]]) -> int:
@@ -134,9 +145,10 @@ class Transducer:
             for c in segment:
                 state, change = self.move(state, c)
                 got += change
-                if len(self.made) >= MEMORY:
+                if len(self.made) >= 2 * MEMORY:
                     state = self._restart(state)
-            self.counts[segment] = got
+            if len(segment) <= STEPS:
+                self.counts[segment] = got
         return got
 
     def _restart(self, state: int) -> int:
@@ -183,6 +195,78 @@ class Transducer:
         return self.total(maps[0].head) + (0 if maps[0].count is None else maps[0].count + self.total(maps[0].tail))
 
 
+    def _known(self, flat: np.ndarray) -> np.ndarray:
+        """Next states; transitions that are new are made first."""
+        out = self.next[flat]
+        new = np.unique(flat[out < 0])
+        if len(new):
+            for key in new.tolist():
+                state, change = self.move(key // WIDTH, self.letters[key % WIDTH])
+                if len(self.made) * WIDTH > len(self.next):
+                    grown = np.full(len(self.next), -1, dtype=np.int32)
+                    self.next, self.change = np.append(self.next, grown), np.append(self.change, np.zeros(len(grown), dtype=np.int8))
+                self.next[key], self.change[key] = state, change
+            out = self.next[flat]
+        return out
+
+    def count_all(self, texts: list[str | None], chunk: int = CHUNK) -> list[int]:
+        """Tokens of each text. All segments of the batch run through the transition table in lockstep, longest first."""
+        if len(self.made) >= MEMORY:
+            self._reset()
+        out = np.array([self.count(t) if t and len(t) > chunk else 0 for t in texts], dtype=np.int64)
+        short = [i for i, t in enumerate(texts) if t and len(t) <= chunk]
+        if not short:
+            return out.tolist()
+        lines = [SPACE + texts[i].replace(" ", SPACE) for i in short]
+        line = "".join(lines)
+        codes = np.frombuffer(line.encode("utf-32-le"), dtype=np.uint32)
+        plane = np.minimum(codes, 0xFFFF)
+        columns = self.column_of[plane]
+        if (columns == LATER).any():
+            for c in np.unique(codes[columns == LATER]).tolist():
+                if len(self.columns) < WIDTH:
+                    self.column_of[c] = self.columns[chr(c)] = len(self.columns)
+            self.letters = list(self.columns)
+            columns = self.column_of[plane]
+        high = codes > 0xFFFF
+        if high.any():  # a character of another plane is alone, or takes the slow way
+            columns[high] = [LATER if chr(c) in self.inner else ALONE for c in codes[high].tolist()]
+        alone = columns == ALONE
+        space = codes == ord(SPACE)
+        begins = alone | space
+        begins[1:] &= alone[1:] | ~space[:-1]
+        begins[1:] |= alone[:-1]
+        first = np.zeros(len(lines), dtype=np.int64)
+        np.cumsum([len(x) for x in lines[:-1]], out=first[1:])
+        begins[first] = True
+        start = np.flatnonzero(begins)
+        size = np.diff(np.append(start, len(codes)))
+        count = np.zeros(len(start), dtype=np.int64)
+        single = alone[start]
+        count[single] = self.weight_of[plane[start[single]]]
+        if high.any():
+            for i in np.flatnonzero(single & high[start]).tolist():
+                count[i] = self.weight(line[start[i]])
+        slow = (np.maximum.reduceat(np.where(alone, 0, columns), start) == LATER) | (size > STEPS)
+        for i in np.flatnonzero(slow & ~single).tolist():
+            count[i] = self.count_segment(line[start[i] : start[i] + size[i]])
+        run = np.flatnonzero(~slow & ~single)
+        run = run[np.argsort(-size[run].astype(np.int16), kind="stable")]
+        at, length = start[run], size[run]
+        state, tokens = np.zeros(len(run), dtype=np.int64), np.zeros(len(run), dtype=np.int32)
+        alive = len(run) - np.searchsorted(length[::-1], np.arange(STEPS + 1), side="right")
+        for k in range(STEPS):
+            m = int(alive[k])
+            if not m:
+                break
+            flat = state[:m] * WIDTH + columns[at[:m] + k]
+            state[:m] = self._known(flat)
+            tokens[:m] += self.change[flat]
+        count[run] = tokens
+        out[short] = np.add.reduceat(count, np.searchsorted(start, first))
+        return out.tolist()
+
+
 _machines: dict[str, Transducer] = {}
 
 
@@ -197,9 +281,8 @@ def tokens_of(text: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf("long")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        count = machine(path).count
         for texts in batches:
-            yield pa.array([count(t or "") for t in texts.to_pylist()], type=pa.int64())
+            yield pa.array(machine(path).count_all(texts.to_pylist()), type=pa.int64())
 
     return of(whole(text))
 
