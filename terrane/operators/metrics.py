@@ -1,0 +1,102 @@
+"""Exact metrics. Ranks and curves work on distinct scores with counts, so a window sees no more rows than there are scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from terrane.functions.numeric import ratio
+
+
+def rmse(y: Column, p: Column, w: Column | None = None) -> Column:
+    w = F.lit(1.0) if w is None else w
+    return F.sqrt(F.sum(w * F.pow(y - p, 2)) / F.sum(w))
+
+
+def mae(y: Column, p: Column) -> Column:
+    return F.avg(F.abs(y - p))
+
+
+def r2(y: Column, p: Column) -> Column:
+    """0 for a constant target."""
+    total = F.var_pop(y)
+    return F.when(total == 0, 0.0).otherwise(1 - F.avg(F.pow(y - p, 2)) / total)
+
+
+def mape(y: Column, p: Column) -> Column:
+    return F.avg(F.abs(F.try_divide(y - p, y)))
+
+
+def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
+    """y and p: logarithms. One row."""
+    a, b = F.col(y), F.col(p)
+    ea, eb = F.exp(a), F.exp(b)
+    return df.agg(rmse(a, b).alias("rmse_log"), mae(a, b).alias("mae_log"), r2(a, b).alias("r2_log"), rmse(ea, eb).alias("rmse"), mae(ea, eb).alias("mae"), r2(ea, eb).alias("r2"), mape(ea, eb).alias("mape"))
+
+
+def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
+    n = lambda a, b: F.count_if((F.col(y) == a) & (F.col(p) == b)).cast("long")
+    d = df.agg(n(0, 0).alias("tn"), n(0, 1).alias("fp"), n(1, 0).alias("fn"), n(1, 1).alias("tp"))
+    precision, recall = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    d = d.withColumns({"accuracy": ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")), "precision": precision, "recall": recall})
+    return d.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def by_score(df: DataFrame, y: str, score: str) -> DataFrame:
+    """(score, pos, neg), then tp and fp from the highest score down."""
+    d = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
+    w = W.orderBy(F.desc("score"))
+    return d.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
+
+
+def _totals(d: DataFrame) -> DataFrame:
+    return F.broadcast(d.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")))
+
+
+def ranks(df: DataFrame, value: str) -> DataFrame:
+    """(value, n, rank): average ranks of ties."""
+    d = df.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return d.withColumn("rank", F.sum("n").over(W.orderBy("value")) - (F.col("n") - 1) / 2.0)
+
+
+def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
+    """From average ranks; null without both classes."""
+    d = by_score(df, y, score)
+    area = F.sum(F.col("pos") * (F.col("n") - F.col("fp") + F.col("neg") / 2.0))
+    return d.crossJoin(_totals(d)).groupBy("p", "n").agg(area.alias("a")).select(F.try_divide("a", F.col("p") * F.col("n").cast("double")).alias("roc_auc"))
+
+
+def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
+    """(threshold, fpr, tpr), from an infinite threshold at (0, 0)."""
+    d = by_score(df, y, score)
+    points = d.crossJoin(_totals(d)).select(F.col("score").cast("double").alias("threshold"), ratio(F.col("fp"), F.col("n")).alias("fpr"), ratio(F.col("tp"), F.col("p")).alias("tpr"))
+    start = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return start.unionByName(points)
+
+
+def pr_curve(df: DataFrame, y: str, score: str) -> DataFrame:
+    d = by_score(df, y, score)
+    return d.crossJoin(_totals(d)).select(F.col("score").cast("double").alias("threshold"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("p")).alias("recall"))
+
+
+def average_precision(df: DataFrame, y: str, score: str) -> DataFrame:
+    d = by_score(df, y, score)
+    return d.crossJoin(_totals(d)).agg((F.sum(F.col("pos") * ratio(F.col("tp"), F.col("tp") + F.col("fp"))) / F.max("p")).alias("average_precision"))
+
+
+def gini(counts: list[Column]) -> Column:
+    n = sum(counts[1:], counts[0])
+    out = F.lit(1.0)
+    for c in counts:
+        out = out - F.pow(ratio(c, n), 2)
+    return out
+
+
+def entropy(counts: list[Column]) -> Column:
+    n = sum(counts[1:], counts[0])
+    out = F.lit(0.0)
+    for c in counts:
+        p = ratio(c, n)
+        out = out - F.when(p > 0, p * F.log2(p)).otherwise(0.0)
+    return out
