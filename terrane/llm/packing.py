@@ -12,9 +12,9 @@ Nulls: a null text is an empty one and becomes the end token alone. Repeated row
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +24,14 @@ from pyspark.sql import functions as F
 
 from terrane.llm.common import saved, small_batches, whole
 from terrane.llm.numbering import HASH_BITS, numbered
+from terrane.llm.transduce import MEMORY, NONE, STEPS, Machine
 
 CAPACITY, END = 2048, b"\0\0\0\0"
-#: Chunks whose ids a worker remembers.
-MEMORY = 1_000_000
-_encoders: dict[str, tuple] = {}
+FINAL, UNKNOWN = 256, 1 << 20
+#: Slow chunks whose ids a worker remembers.
+REMEMBERED = 200_000
+_encoders: dict[str, Words] = {}
+BLANK, LETTER, DIGIT, OTHER, UNSURE = range(5)
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,31 +40,159 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str) -> tuple:
-    if path not in _encoders:
+class Words(Machine):
+    """Ids of texts by a lower-casing byte-pair tokenizer with word ends.
+
+    White space parts a text into chunks, and what the pre-tokenizer makes of a chunk depends on the chunk alone. Chunks of ASCII
+    and Latin-1 letters, digits and plain signs are cut into words here and all words of a batch run through the
+    transition table together; going back from each end by the lengths of last tokens gives the ids. Any other chunk
+    (other scripts, quotes, angle brackets, controls) is encoded by the library and remembered."""
+
+    width = 256
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _encoders[path] = (Tokenizer.from_file(path), {})
-    return _encoders[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        shown = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in visible)}
+        end = model["end_of_word_suffix"]
+
+        def symbols(token: str) -> str:
+            """A character for each byte; the byte that ends a word has one of its own."""
+            raw = [shown[c] for c in token.removesuffix(end)]
+            return "".join(map(chr, raw[:-1])) + chr(raw[-1] + FINAL * token.endswith(end)) if raw else ""
+
+        self.ids = {symbols(t): i for t, i in model["vocab"].items()}
+        self.rules = {(symbols(a), symbols(b)): -k for k, (a, b) in enumerate(m.split(" ") if isinstance(m, str) else m for m in model["merges"])}
+        super().__init__(dict.fromkeys(self.ids, 0.0))
+        self.memory: dict[bytes, bytes] = {}
+        self.columns = np.full(2 * FINAL, UNKNOWN, dtype=np.int32)
+        self.kind = np.full(256, UNSURE, dtype=np.uint8)
+        self.kind[33:127] = OTHER
+        self.kind[[9, 10, 11, 12, 13, 32]] = BLANK
+        self.kind[48:58] = DIGIT
+        self.kind[[*range(65, 91), *range(97, 123)]] = LETTER
+        self.kind[[ord("'"), ord("<")]] = UNSURE
+
+    def rank(self, a: str, b: str) -> float:
+        return self.rules.get((a, b), NONE)
+
+    def _reset(self) -> None:
+        super()._reset()
+        self.last_id, self.last_size = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+
+    def _tokens(self) -> None:
+        """The last token of each state."""
+        new = [self.made[k][1][-1] for k in range(len(self.last_id), len(self.made))]
+        if new:
+            self.last_id = np.append(self.last_id, np.array([self.ids.get(t, 0) for t in new], dtype=np.uint32))
+            self.last_size = np.append(self.last_size, np.array([len(t) for t in new], dtype=np.int64))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids as little-endian unsigned 32-bit numbers, the end token last."""
+        if len(self.made) >= MEMORY:
+            self._reset()
+        raws = [(t or "").encode() for t in texts]
+        line = b"\n".join(raws) + b"\n"
+        b = np.frombuffer(line, dtype=np.uint8).copy()
+        kind = self.kind[b]
+        b[(b >= 65) & (b <= 90)] += 32
+        after = np.flatnonzero(b[:-1] == 0xC3) + 1  # Latin-1 letters are this lead byte and one more
+        second = b[after]
+        letters = after[(second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)]
+        kind[letters] = kind[letters - 1] = LETTER
+        upper = letters[b[letters] <= 0x9E]
+        b[upper] += 32
+        blank = kind == BLANK
+        starts_chunk = ~blank
+        starts_chunk[1:] &= blank[:-1]
+        chunk = np.flatnonzero(starts_chunk)
+        begin = ~blank
+        begin[1:] &= blank[:-1] | (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        unsure = np.unique(np.searchsorted(chunk, np.flatnonzero(kind == UNSURE), side="right") - 1)
+        slow_start = chunk[unsure]
+        if len(unsure):
+            stop = np.flatnonzero(blank)
+            slow_stop = stop[np.searchsorted(stop, slow_start)]
+            inside = np.zeros(len(b) + 1, dtype=np.int32)
+            np.add.at(inside, slow_start, 1)
+            np.add.at(inside, slow_stop, -1)
+            begin &= ~np.cumsum(inside)[:-1].astype(bool)
+            begin[slow_start] = True
+        finish = ~blank
+        finish[:-1] &= blank[1:] | begin[1:]
+        start, last = np.flatnonzero(begin), np.flatnonzero(finish)
+        size = last - start + 1
+        slow = size > STEPS
+        slow[np.searchsorted(start, slow_start)] = True
+        # columns of bytes, those that end a word apart
+        code = b.astype(np.int32)
+        code[last] += FINAL
+        column = self.columns[code]
+        if (column == UNKNOWN).any():
+            for c in np.unique(code[column == UNKNOWN]).tolist():
+                if len(self.letters) < self.width:
+                    self.columns[c] = len(self.letters)
+                    self.letters.append(chr(c))
+            column = self.columns[code]
+            if (column == UNKNOWN).any():
+                slow |= np.maximum.reduceat(column, start)[: len(start)] == UNKNOWN if len(start) else slow
+        count = np.zeros(len(start), dtype=np.int64)
+        run = np.flatnonzero(~slow)
+        run = run[np.argsort(-size[run].astype(np.int16), kind="stable")]
+        at, length = start[run], size[run]
+        state, track = np.zeros(len(run), dtype=np.int64), np.zeros(len(b), dtype=np.int32)
+        alive = len(run) - np.searchsorted(length[::-1], np.arange(STEPS + 1), side="right")
+        for k in range(STEPS):
+            m = int(alive[k])
+            if not m:
+                break
+            state[:m] = self._known(state[:m] * self.width + column[at[:m] + k])
+            track[at[:m] + k] = state[:m]
+        self._tokens()
+        # from each word's end backwards
+        taken, where, which = [], last[run], np.arange(len(run))
+        while len(which):
+            s = track[where]
+            taken.append((run[which], self.last_id[s]))
+            where = where - self.last_size[s]
+            go = where >= at[which]
+            where, which = where[go], which[go]
+        for word, _ in taken:
+            count[word] += 1
+        found = self._remembered(line, start, size, np.flatnonzero(slow))
+        for k, ids in found:
+            count[k] = len(ids) // 4
+        first = np.cumsum(count) - count
+        out = np.zeros(int(count.sum()), dtype="<u4")
+        for back, (word, ids) in enumerate(taken):
+            out[first[word] + count[word] - 1 - back] = ids
+        for k, ids in found:
+            out[first[k] : first[k] + count[k]] = np.frombuffer(ids, dtype="<u4")
+        edges = np.zeros(len(raws) + 1, dtype=np.int64)
+        np.cumsum([len(r) + 1 for r in raws], out=edges[1:])
+        ends = np.append(first, len(out))[np.searchsorted(start, edges)]
+        return [out[i:j].tobytes() + END for i, j in zip(ends, ends[1:], strict=False)]
+
+    def _remembered(self, line: bytes, start: np.ndarray, size: np.ndarray, slow: np.ndarray) -> list[tuple[int, bytes]]:
+        memory = self.memory
+        chunks = [line[a : a + n] for a, n in zip(start[slow].tolist(), size[slow].tolist(), strict=True)]
+        if len(memory) > REMEMBERED:
+            memory.clear()
+        new = list({c for c in chunks if c not in memory})
+        for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
+            memory[c] = np.array(e.ids, dtype="<u4").tobytes()
+        return [(k, memory[c]) for k, c in zip(slow.tolist(), chunks, strict=True)]
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
-    """Ids as little-endian unsigned 32-bit numbers, the end token last. White space separates the tokenizer's words,
-    so that a text's ids are those of its chunks; each new chunk is encoded once by the library."""
-    tokenizer, memory = encoder(path)
-    if len(memory) > MEMORY:
-        memory.clear()
-    split = [(t or "").encode().split() for t in texts]
-    found = [list(map(memory.get, chunks)) for chunks in split]
-    gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
-    new = list({chunks[i] for chunks, at in zip(split, gaps, strict=True) for i in at})
-    for c, e in zip(new, tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
-        memory[c] = array("I", e.ids).tobytes()
-    for ids, chunks, at in zip(found, split, gaps, strict=True):
-        for i in at:
-            ids[i] = memory[chunks[i]]
-    return [b"".join(ids) + END for ids in found]
+    if path not in _encoders:
+        _encoders[path] = Words(path)
+    return _encoders[path].encode(texts)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

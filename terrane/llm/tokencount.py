@@ -1,11 +1,6 @@
 """Token counts of a byte-fallback BPE model by finite-state transduction.
 
-The tokens of a text are its only division into tokens of which every two neighbours are stable: tokenized on their own,
-they come out as the same two tokens. So the last token of a prefix follows from the last tokens of the prefixes
-up to a token's length before it, and reading one more character is a transition of a deterministic transducer.
-Its state: the longest suffix of what was read that a piece starts with, the last tokens of the prefixes that end in it,
-their counts relative to the newest: finitely many, as these are all bounded by the longest piece.
-Transitions carry the change in the count; states and transitions are made when they are first needed.
+The transducer is that of `transduce`; its transitions carry the change in the count of tokens.
 
 A character that no longer piece contains, and a word start, are borders: the transducer is in its first state again. The map
 from entry state to exit state of a chunk with a border is constant after it, so chunk maps compose associatively:
@@ -26,14 +21,12 @@ from pyspark.sql import functions as F
 
 from terrane.llm.common import small_batches, whole
 from terrane.llm.packing import tokenizer_path
+from terrane.llm.transduce import MEMORY, STEPS, Machine
 
 SPACE = "▁"
-NONE = float("-inf")
 CHUNK = 1 << 16
-#: Segments, states and pairs that a worker remembers.
-MEMORY = 300_000
-#: Columns of the transition table; rarer characters take the slow way, as do segments of over STEPS characters.
-WIDTH, ALONE, LATER, STEPS = 128, 255, 254, 64
+#: Characters alone between borders; characters inside pieces without a column yet. Those without one, and segments of over STEPS characters, take the slow way.
+ALONE, LATER = 255, 254
 
 
 @dataclass(frozen=True)
@@ -46,95 +39,30 @@ class ChunkMap:
     tail: str = ""
 
 
-class Transducer:
+class Transducer(Machine):
     def __init__(self, path: str) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.score = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
-        self.starts = {p[:k] for p in self.score for k in range(len(p))}
-        inner = {c for p in self.score if len(p) > 1 for c in p} | {SPACE}
-        if any(SPACE in p.lstrip(SPACE) for p in self.score):
+        pieces = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
+        inner = {c for p in pieces if len(p) > 1 for c in p} | {SPACE}
+        if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece goes over a word start")
+        super().__init__(pieces)
         self.inner = inner
         letters = re.escape("".join(sorted(inner - {SPACE})))
         #: A run of word starts with letters after it, letters, or one other character.
         self.segment = re.compile(f"{SPACE}+[{letters}]*|[{letters}]+|.", re.DOTALL)
         self.counts: dict[str, int] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.states: dict[tuple, int] = {}
-        self.made: list[tuple[str, tuple[str, ...], tuple[int, ...]]] = []
-        self.moves: list[dict[str, tuple[int, int]]] = []
         self.columns: dict[str, int] = {}
         #: For each code of the basic plane: the column of a character inside pieces, ALONE or LATER (none yet); its tokens if alone.
         self.column_of = np.full(1 << 16, ALONE, dtype=np.uint8)
         self.weight_of = np.array([1 if chr(c) in self.score else 1 + (c > 0x7F) + (c > 0x7FF) for c in range(1 << 16)], dtype=np.int8)
         self.column_of[[ord(c) for c in inner if ord(c) < 1 << 16]] = LATER
-        self._reset()
-
-    def _reset(self) -> None:
-        self.states.clear()
-        self.pairs.clear()
-        self.made.clear()
-        self.moves.clear()
-        self.next = np.full(1024 * WIDTH, -1, dtype=np.int32)
-        self.change = np.zeros(1024 * WIDTH, dtype=np.int8)
-        self._state(("", ("",), (0,)))
-
-    def _state(self, s: tuple[str, tuple[str, ...], tuple[int, ...]]) -> int:
-        k = self.states.get(s)
-        if k is None:
-            k = self.states[s] = len(self.made)
-            self.made.append(s)
-            self.moves.append({})
-        return k
-
-    def merged(self, text: str) -> list[str]:
-        """The definition: the best neighbouring pair is merged, the leftmost of equals, until none is a piece."""
-        parts, score = list(text), self.score.get
-        ranks = [score(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
-        while ranks and (best := max(ranks)) > NONE:
-            i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = score(parts[i - 1] + parts[i], NONE)
-            if i < len(ranks):
-                ranks[i] = score(parts[i] + parts[i + 1], NONE)
-        return parts
-
-    def stable(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
-        return known
 
     def weight(self, token: str) -> int:
         return 1 if token in self.score else len(token.encode())
 
-    def move(self, state: int, char: str) -> tuple[int, int]:
-        """The next state and the change in the count. The empty prefix has no last token ("")."""
-        got = self.moves[state].get(char)
-        if got is not None:
-            return got
-        tail, last, ago = self.made[state]
-        text = tail + char
-        for n in range(len(text), 0, -1):
-            token = text[-n:]
-            if n > 1 and token not in self.score:
-                continue
-            before = last[-n]
-            if self.stable(before, token) if before else n == 1 or self.merged(token) == [token]:
-                change = ago[-n] + self.weight(token)
-                break
-        else:
-            raise AssertionError(f"no token ends here: {text!r}")
-        k = next(k for k in range(len(text) + 1) if text[k:] in self.starts)  # the longest suffix that a piece starts with
-        keep = len(text) - k
-        new = (text[k:], (*last[len(last) - keep :], token), (*(a - change for a in ago[len(ago) - keep :]), 0))
-        self.moves[state][char] = out = (self._state(new), change)
-        return out
-
     def count_segment(self, segment: str) -> int:
         """Tokens between two borders."""
         got = self.counts.get(segment)
@@ -195,20 +123,6 @@ class Transducer:
         return self.total(maps[0].head) + (0 if maps[0].count is None else maps[0].count + self.total(maps[0].tail))
 
 
-    def _known(self, flat: np.ndarray) -> np.ndarray:
-        """Next states; transitions that are new are made first."""
-        out = self.next[flat]
-        new = np.unique(flat[out < 0])
-        if len(new):
-            for key in new.tolist():
-                state, change = self.move(key // WIDTH, self.letters[key % WIDTH])
-                if len(self.made) * WIDTH > len(self.next):
-                    grown = np.full(len(self.next), -1, dtype=np.int32)
-                    self.next, self.change = np.append(self.next, grown), np.append(self.change, np.zeros(len(grown), dtype=np.int8))
-                self.next[key], self.change[key] = state, change
-            out = self.next[flat]
-        return out
-
     def count_all(self, texts: list[str | None], chunk: int = CHUNK) -> list[int]:
         """Tokens of each text. All segments of the batch run through the transition table in lockstep, longest first."""
         if len(self.made) >= MEMORY:
@@ -224,7 +138,7 @@ class Transducer:
         columns = self.column_of[plane]
         if (columns == LATER).any():
             for c in np.unique(codes[columns == LATER]).tolist():
-                if len(self.columns) < WIDTH:
+                if len(self.columns) < self.width:
                     self.column_of[c] = self.columns[chr(c)] = len(self.columns)
             self.letters = list(self.columns)
             columns = self.column_of[plane]
@@ -259,7 +173,7 @@ class Transducer:
             m = int(alive[k])
             if not m:
                 break
-            flat = state[:m] * WIDTH + columns[at[:m] + k]
+            flat = state[:m] * self.width + columns[at[:m] + k]
             state[:m] = self._known(flat)
             tokens[:m] += self.change[flat]
         count[run] = tokens
