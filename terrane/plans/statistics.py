@@ -41,19 +41,20 @@ def missing_impute_median(t: Tables) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT p_brand AS level, count(*) AS n FROM part GROUP BY 1 HAVING count(*) >= 20 ORDER BY n DESC, level LIMIT 5), k AS (SELECT list(level ORDER BY level) AS l FROM c)
-SELECT p_partkey, (p_brand = l[1])::INT::DOUBLE AS v1, (p_brand = l[5])::INT::DOUBLE AS v5, (NOT list_contains(l, p_brand))::INT::DOUBLE AS other FROM part, k""")
+SELECT p_partkey, coalesce((p_brand = l[1])::INT::DOUBLE, 0) AS v1, coalesce((p_brand = l[5])::INT::DOUBLE, 0) AS v5, (NOT coalesce(list_contains(l, p_brand), false))::INT::DOUBLE AS other FROM part, k""")
 def onehot_topk_other(t: Tables) -> DataFrame:
     p = encode.Preprocessor(numeric=[], binary=[], categorical=["p_brand"], indicators=[], multilabel=[], max_levels=5).fit(t.part)
-    c = p.columns()
-    return t.part.select("p_partkey", c[0].alias("v1"), c[4].alias("v5"), c[5].alias("other"))
+    *levels, other = p.columns()
+    levels += [F.lit(0.0)] * 5
+    return t.part.select("p_partkey", levels[0].alias("v1"), levels[4].alias("v5"), other.alias("other"))
 
 
 @query("""WITH w AS (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS w FROM part), c AS (SELECT w, count(*) AS n FROM w WHERE w <> '' GROUP BY w HAVING count(*) >= 20 ORDER BY n DESC, w LIMIT 4), k AS (SELECT list(w ORDER BY w) AS l FROM c)
-SELECT p_partkey, list_contains(string_split(p_name, ' '), l[1])::INT::DOUBLE AS a, list_contains(string_split(p_name, ' '), l[4])::INT::DOUBLE AS b FROM part, k""")
+SELECT p_partkey, coalesce(list_contains(string_split(p_name, ' '), l[1])::INT::DOUBLE, 0) AS a, coalesce(list_contains(string_split(p_name, ' '), l[4])::INT::DOUBLE, 0) AS b FROM part, k""")
 def multilabel_encode(t: Tables) -> DataFrame:
     d = t.part.withColumn("tags", F.replace("p_name", F.lit(" "), F.lit("|")))
     p = encode.Preprocessor(numeric=[], binary=[], categorical=[], indicators=[], multilabel=["tags"], max_labels=4).fit(d)
-    c = p.columns()
+    c = [*p.columns(), *[F.lit(0.0)] * 4]
     return d.select("p_partkey", c[0].alias("a"), c[3].alias("b"))
 
 
@@ -215,7 +216,10 @@ def paired_bootstrap(t: Tables) -> DataFrame:
     return got.select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), F.round("p", 6).alias("p"), "significant")
 
 
-@query(f"WITH d AS (SELECT p - y AS r FROM ({LOGS})), n AS (SELECT count(*) AS n FROM d) SELECT round((SELECT quantile_cont(r, least(1.0, ceil((15000 + 1) * 0.9) / 15000)) FROM d), 6) AS hi, round((SELECT quantile_cont(r, floor((15000 + 1) * 0.1) / 15000) FROM d), 6) AS lo FROM n")
+_AT = "l[floor({q} * (n - 1))::BIGINT + 1] + ({q} * (n - 1) - floor({q} * (n - 1))) * (l[least(floor({q} * (n - 1))::BIGINT + 2, n)] - l[floor({q} * (n - 1))::BIGINT + 1])"
+
+
+@query(f"WITH d AS (SELECT list_sort(list(p - y)) AS l, count(*) AS n FROM ({LOGS})) SELECT round({_AT.format(q='least(1.0::DOUBLE, ceil((n + 1) * 0.9::DOUBLE) / n)')}, 6) AS hi, round({_AT.format(q='greatest(0.0::DOUBLE, floor((n + 1) * 0.1::DOUBLE) / n)')}, 6) AS lo FROM d")
 def conformal_quantiles(t: Tables) -> DataFrame:
     return stats.conformal(_logs(t).withColumn("r", F.col("p") - F.col("y")), "r").select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
