@@ -10,6 +10,7 @@ that can't give back are possessive. Nulls are empty texts without spans."""
 
 from __future__ import annotations
 
+import json
 import random
 from functools import cache
 
@@ -31,7 +32,7 @@ BASE = {
 }
 #: Proposals by kind. They may overlap each other and the base spans.
 GENERATORS = (
-    ("email", _LOCAL + r"\x20?+(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?+[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20|\.)\x20?[A-Za-z0-9-]++)++"),
+    ("email", _LOCAL + r"(?:\x20at\x20|\x20?(?:\(at\)|\[at\]|\{at\})\x20?)[A-Za-z0-9-]++(?:(?:\x20dot\x20|\x20?(?:\(dot\)|\[dot\]|\{dot\})\x20?|\.)[A-Za-z0-9-]++)++"),
     ("ip", r"(?<![0-9])[0-9]{1,3}+(?:\[\.\][0-9]{1,3}+){3}(?![0-9])"),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[.\x20_/]{1,2}[0-9]{4}){3}(?![0-9])"),
@@ -151,8 +152,9 @@ def examples(n: int = EXAMPLES) -> list[tuple[str, int, int, int]]:
 @cache
 def _model(key: object) -> tuple[Boosted, float]:
     spark = SparkSession.getActiveSession()
-    rows = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("t"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(y).alias("y")) for i, (t, a, b, y) in enumerate(examples())))
-    d = proposals(spark.range(0, 1, 1, 1).select(F.explode(rows).alias("e")).select("e.*"))
+    rows = json.dumps([{"i": i, "t": t, "a": a, "b": b, "y": y} for i, (t, a, b, y) in enumerate(examples())])
+    made = spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(rows), "array<struct<i:int,t:string,a:int,b:int,y:int>>")))
+    d = proposals(made)
     d = d.select("i", "a", "b", "y", F.explode("g_").alias("g")).where("g.start < b and g.end > a").select("i", "y", "g.x").orderBy("i", "x")
     got = d.collect()  # a few rows for each of EXAMPLES sentences
     x, y, i = np.array([r["x"] for r in got]), np.array([float(r["y"]) for r in got]), np.array([r["i"] for r in got])
