@@ -41,11 +41,13 @@ def _without(text: Column, chars: str) -> Column:
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """docs with a struct column `q_` of the features; long arrays live only within a row."""
-    names = [c for c in docs.columns if c != "q_"]
+    """row_ (docs' columns), a struct `q_` of the features, at_. Long arrays live only within a row.
+
+    at_ is there for the optimizer: a filter that depends on it isn't pushed below the features, where every use of a feature
+    would become a copy of its whole expression."""
     t = whole(docs["text"])
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    d = docs.select(F.struct(*(docs[c] for c in names)).alias("row_"), t.alias("t"), F.filter(F.split(t, BLANK), lambda x: x != "").alias("w"))
+    d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row_"), t.alias("t"), F.filter(F.split(t, BLANK), lambda x: x != "").alias("w"))
     d = d.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.withColumn("h", F.when(F.size("w") >= N, F.transform(F.sequence(F.lit(1), F.size("w") - N + 1), lambda i: F.xxhash64(F.slice("w", i, N)))).otherwise(F.array().cast("array<bigint>")))
     d = d.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).otherwise(F.array().cast("array<struct<x:bigint,i:int>>")))
@@ -67,7 +69,7 @@ def with_features(docs: DataFrame) -> DataFrame:
         "n_distinct": F.size(F.array_distinct("w")),
         "n_stops": F.length("t") - F.length(_without(F.col("t"), ".!?。")),
     }
-    return d.select("row_", F.struct(*(c.cast("long").alias(n) for n, c in q.items())).alias("q_"))
+    return d.select("row_", F.struct(*(c.cast("long").alias(n) for n, c in q.items())).alias("q_"), F.spark_partition_id().alias("at_"))
 
 
 def votes(q: str = "q_") -> Column:
@@ -146,8 +148,8 @@ def judged(docs: DataFrame, model: LabelModel | None = None) -> DataFrame:
     model = model or fitted(d)
     q = F.col("q_")
     failed = (q["n_words"] < 20) | (100 * q["n_repeat_words"] > 30 * q["n_words"])
-    d = d.select("row_", "q_", failed.alias("base_failed"), model.column(votes()).alias("posterior"))
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
+    d = d.select("row_", "q_", "at_", failed.alias("base_failed"), model.column(votes()).alias("posterior"))
+    return d.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5) & (F.col("at_") >= 0)).drop("at_")
 
 
 def report(docs: DataFrame) -> DataFrame:
