@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.common import small_batches, whole
-from terrane.llm.decontam import words
+from terrane.llm.decontam import FOLD, words
 
 SHINGLE, CONTAINED, BANDS = 5, 0.8, 48
+ABSENT = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 #: Notices as their licenses give them.
 TEMPLATES = {
@@ -40,32 +41,40 @@ TEMPLATES = {
 
 _ODD = [np.uint64(xxhash.xxh64_intdigest(f"m{i}") | 1) for i in range(SHINGLE)]
 _MIX = [(np.uint64(xxhash.xxh64_intdigest(f"a{i}") | 1), np.uint64(xxhash.xxh64_intdigest(f"b{i}"))) for i in range(BANDS)]
-_hashes: dict[bytes, int] = {}
-
-
-def _word_hashes(ws: list[bytes]) -> np.ndarray:
-    if len(_hashes) > 500_000:
-        _hashes.clear()
-    got = list(map(_hashes.get, ws))
-    if None in got:
-        for i, h in enumerate(got):
-            if h is None:
-                got[i] = _hashes[ws[i]] = xxhash.xxh64_intdigest(ws[i])
-    return np.array(got, dtype=np.uint64)
-
-
-def shingles(ws: list[bytes]) -> np.ndarray:
-    """A 64-bit value for each run of five words."""
-    if not ws:
-        return np.zeros(0, dtype=np.uint64)
-    h = _word_hashes(ws)
-    n = max(1, len(h) - SHINGLE + 1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, hash) of each word of folded text, all words at once: a polynomial over the word's bytes."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    inside = raw != 32
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    start = np.flatnonzero(begins)
+    if not len(start):
+        return start, np.zeros(0, dtype=np.uint64)
+    kept = np.flatnonzero(inside)
+    first = np.searchsorted(kept, start)
+    size = np.diff(np.append(first, len(kept)))
+    powers = np.cumprod(np.full(int(size.max()), _BASE, dtype=np.uint64))
+    position = np.arange(len(kept)) - np.repeat(first, size)
+    h = np.add.reduceat((raw[kept].astype(np.uint64) + np.uint64(1)) * powers[position], first)
+    return start, (h ^ (h >> np.uint64(31))) * _BASE
+
+
+def _combined(h: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(n, dtype=np.uint64)
     for i in range(min(SHINGLE, len(h))):
         out += h[i : i + n] * _ODD[i]
     return out ^ (out >> np.uint64(29))
 
 
+def shingles(ws: list[bytes]) -> np.ndarray:
+    """A 64-bit value for each run of five words; for fewer words, one for all."""
+    h = _word_hashes(b" ".join(ws))[1]
+    return _combined(h, max(1, len(h) - SHINGLE + 1)) if len(h) else h
+
+
 def _permuted(s: np.ndarray, k: int) -> np.ndarray:
     a, b = _MIX[k]
     x = s * a + b
@@ -88,37 +97,67 @@ class Library:
                 order = np.argsort(values)
                 self.bands[size, k] = values[order], [names[i] for i in order]
 
-    def candidates(self, s: np.ndarray, size: int) -> set[tuple[int, str]]:
-        """(window start, template): a band of the window agrees with the template's."""
-        out = set()
-        half = max(1, size // 2)
-        starts = np.arange(0, len(s), half)
-        for k in range(1 if size == 1 else BANDS):
-            low = s if size == 1 else np.minimum.reduceat(_permuted(s, k), starts)
-            if size > 1 and len(low) > 1:
-                low = np.append(np.minimum(low[:-1], low[1:]), low[-1])
+    def candidates(self, s: np.ndarray, valid: np.ndarray) -> set[tuple[int, int, str]]:
+        """(size, window start, template): a band of the window agrees with the template's. Shingles that aren't valid count
+        as none."""
+        out: set[tuple[int, int, str]] = set()
+
+        def compare(low: np.ndarray, size: int, k: int, step: int) -> None:
             values, names = self.bands[size, k]
-            at = np.searchsorted(values, low)
-            hit = np.flatnonzero(values[np.minimum(at, len(values) - 1)] == low)
-            for i in hit:
+            at = np.minimum(np.searchsorted(values, low), len(values) - 1)
+            for i in np.flatnonzero(values[at] == low):
                 j = int(at[i])
                 while j < len(values) and values[j] == low[i]:
-                    out.add((int(starts[i]), names[j]))
+                    out.add((size, int(i) * step, names[j]))
                     j += 1
+
+        if 1 in self.classes:
+            compare(np.where(valid, s, ABSENT), 1, 0, 1)
+        sizes = sorted(c for c in self.classes if c > 1)
+        for k in range(BANDS if sizes else 0):
+            low, half = np.where(valid, _permuted(s, k), ABSENT), 1
+            for size in sizes:
+                while half < size // 2:  # minima of half windows from those of shorter ones
+                    low = np.minimum(low[::2], np.append(low[1::2], ABSENT)[: len(low[::2])])
+                    half *= 2
+                compare(np.minimum(low, np.append(low[1:], ABSENT)), size, k, half)
         return out
 
-    def scan(self, text: str) -> dict[str, float]:
-        """Templates found, each with its best containment."""
-        s, out = shingles(words(text)), {}
-        if len(s):
-            for size in self.classes:
-                for start, name in self.candidates(s, size):
-                    around = s[max(0, start - size) : start + 2 * size]
-                    share = float(np.isin(self.sets[name], around).mean())
-                    if share >= CONTAINED:
-                        out[name] = max(share, out.get(name, 0.0))
+    def scan_all(self, texts: list[str | None]) -> list[dict[str, float]]:
+        """For each text the templates found, with their best containment. All texts go through as one run of words; a
+        template is verified within each text that its window touches."""
+        folded = [(t or "").encode().translate(FOLD) for t in texts]
+        start, h = _word_hashes(b" ".join(folded))
+        edges = np.zeros(len(folded) + 1, dtype=np.int64)
+        np.cumsum([len(f) + 1 for f in folded], out=edges[1:])
+        first = np.searchsorted(start, edges)
+        out: list[dict[str, float]] = [{} for _ in texts]
+        if not len(h):
+            return out
+        n = max(1, len(h) - SHINGLE + 1)
+        s = _combined(h, n)
+        doc = np.searchsorted(first, np.arange(n), side="right") - 1
+        valid = np.arange(n) + SHINGLE <= first[doc + 1]
+
+        def verify(d: int, name: str, around: np.ndarray) -> None:
+            share = float(np.isin(self.sets[name], around).mean())
+            if share >= CONTAINED:
+                out[d][name] = max(share, out[d].get(name, 0.0))
+
+        for size, at, name in self.candidates(s, valid):
+            for d in range(int(doc[at]), int(doc[min(at + size, n) - 1]) + 1):
+                low, high = max(int(first[d]), at - size), min(int(first[d + 1]) - SHINGLE + 1, at + 2 * size)
+                if low < high:
+                    verify(d, name, s[low:high])
+        for d in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < SHINGLE)).tolist():  # all of a short text is one shingle
+            one = _combined(h[first[d] : first[d + 1]], 1)
+            for name in self.sets:
+                verify(d, name, one)
         return out
 
+    def scan(self, text: str) -> dict[str, float]:
+        return self.scan_all([text])[0]
+
 
 @cache
 def library() -> Library:
@@ -132,7 +171,7 @@ def report(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [library().scan(t) for t in b.column(1).to_pylist()]
+            found = library().scan_all(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([",".join(sorted(f)) for f in found]), pa.array([min(f.values()) if f else None for f in found], pa.float64())], ["doc_id", "n_licenses", "licenses", "containment"])
 
     return docs.select("doc_id", whole(F.col("text")).alias("text")).mapInArrow(scan, f"doc_id {kind}, n_licenses long, licenses string, containment double")
