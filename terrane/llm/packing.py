@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from terrane.llm.common import saved, small_batches, whole
 from terrane.llm.numbering import HASH_BITS, numbered
-from terrane.llm.transduce import MEMORY, NONE, STEPS, Machine
+from terrane.llm.transduce import MEMORY, NONE, STEPS, Machine, portions
 
 CAPACITY, END = 2048, b"\0\0\0\0"
 FINAL, UNKNOWN = 256, 1 << 20
 #: Slow chunks whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _encoders: dict[str, Words] = {}
 BLANK, LETTER, DIGIT, OTHER, UNSURE = range(5)
 
@@ -48,8 +48,6 @@ class Words(Machine):
     transition table together; going back from each end by the lengths of last tokens gives the ids. Any other chunk
     (other scripts, quotes, angle brackets, controls) is encoded by the library and remembered."""
 
-    width = 256
-
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -192,7 +190,7 @@ class Words(Machine):
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     if path not in _encoders:
         _encoders[path] = Words(path)
-    return _encoders[path].encode(texts)
+    return [ids for part in portions(texts) for ids in _encoders[path].encode(part)]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

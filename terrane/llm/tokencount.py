@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from terrane.llm.common import small_batches, whole
 from terrane.llm.packing import tokenizer_path
-from terrane.llm.transduce import MEMORY, STEPS, Machine
+from terrane.llm.transduce import MEMORY, STEPS, Machine, portions
 
 SPACE = "▁"
 CHUNK = 1 << 16
@@ -71,7 +71,7 @@ class Transducer(Machine):
                 self.counts.clear()
             state, got = 0, 0
             for c in segment:
-                state, change = self.move(state, c)
+                state, change = self.remembered(state, c)
                 got += change
                 if len(self.made) >= 2 * MEMORY:
                     state = self._restart(state)
@@ -196,7 +196,7 @@ def tokens_of(text: Column, path: str | None = None) -> Column:
     @F.arrow_udf("long")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array(machine(path).count_all(texts.to_pylist()), type=pa.int64())
+            yield pa.array([n for part in portions(texts.to_pylist()) for n in machine(path).count_all(part)], type=pa.int64())
 
     return of(whole(text))
 

@@ -10,11 +10,29 @@ all words of a batch take their steps together."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 NONE = float("-inf")
 #: States that a table keeps from one batch to the next; columns of the table; symbols of a word that go through it.
-MEMORY, STEPS = 300_000, 64
+MEMORY, STEPS = 120_000, 64
+#: Bytes of text that go through the table together, a longer text by itself.
+PORTION = 1 << 21
+
+
+def portions(texts: list[str | None], limit: int = PORTION) -> Iterator[list[str | None]]:
+    """texts in order, in lists of bounded size."""
+    out, size = [], 0
+    for t in texts:
+        n = len(t or "")
+        if out and size + n > limit:
+            yield out
+            out, size = [], 0
+        out.append(t)
+        size += n
+    if out:
+        yield out
 
 
 class Machine:
@@ -28,7 +46,7 @@ class Machine:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.states: dict[tuple, int] = {}
         self.made: list[tuple[str, tuple[str, ...], tuple[int, ...]]] = []
-        self.moves: list[dict[str, tuple[int, int]]] = []
+        self.moves: dict[tuple[int, str], tuple[int, int]] = {}
         self.letters: list[str] = []
         self._reset()
 
@@ -53,7 +71,6 @@ class Machine:
         if k is None:
             k = self.states[s] = len(self.made)
             self.made.append(s)
-            self.moves.append({})
         return k
 
     def merged(self, text: str) -> list[str]:
@@ -78,9 +95,6 @@ class Machine:
 
     def move(self, state: int, char: str) -> tuple[int, int]:
         """The next state and the change in the count. The empty prefix has no last token ("")."""
-        got = self.moves[state].get(char)
-        if got is not None:
-            return got
         tail, last, ago = self.made[state]
         text = tail + char
         for n in range(len(text), 0, -1):
@@ -96,8 +110,14 @@ class Machine:
         k = next(k for k in range(len(text) + 1) if text[k:] in self.starts)  # the longest suffix that a piece starts with
         keep = len(text) - k
         new = (text[k:], (*last[len(last) - keep :], token), (*(a - change for a in ago[len(ago) - keep :]), 0))
-        self.moves[state][char] = out = (self._state(new), change)
-        return out
+        return self._state(new), change
+
+    def remembered(self, state: int, char: str) -> tuple[int, int]:
+        """move() outside the table."""
+        got = self.moves.get((state, char))
+        if got is None:
+            got = self.moves[state, char] = self.move(state, char)
+        return got
 
     def _known(self, flat: np.ndarray) -> np.ndarray:
         """Next states; transitions that are new are made first."""
