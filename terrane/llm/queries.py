@@ -54,13 +54,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_url_filters, op3_decontamination, op4_secret_scans, op5_sharding, op6_quality_rules, op7_license_scans, op8_best_fit_packing, op9_simhash_near_dedup, op10_token_counts)}
 
-#: The jump hash unrolled as a recursion; the last shard below the number of shards is the key's.
-_JUMP = """
-  select id, crc, size, h, n, -1::bigint as b, 0::bigint as j, h::uhugeint as k from keyed, (values (16), (17)) s(n)
-  union all
-  select id, crc, size, h, n, j,
-    floor((j + 1) * (2147483648::double / (((((k * 2862933555777941757::uhugeint) + 1::uhugeint) & 18446744073709551615::uhugeint) >> 33)::double + 1)))::bigint,
-    ((k * 2862933555777941757::uhugeint) + 1::uhugeint) & 18446744073709551615::uhugeint
-  from jumps where j < n"""
-
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: The others have no SQL form: models, XXH64, CRC-32, tokenizers. Tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": f"""WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark), sized AS (SELECT item_id, w, least(13, len(w)) AS k FROM items WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS win FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized)),
+docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+places AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM wins))),
+met AS (SELECT doc_id, places.k AS k, i, item_id FROM places JOIN wins ON places.k = wins.k AND places.win = wins.win),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM met) GROUP BY doc_id),
+named AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS l FROM met GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(len(l), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(d.w) AS contaminated
+FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN named USING (doc_id)""",
+}
