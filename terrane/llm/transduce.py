@@ -18,7 +18,9 @@ NONE = float("-inf")
 #: States that a table keeps from one batch to the next; columns of the table; symbols of a word that go through it.
 MEMORY, STEPS = 120_000, 64
 #: Bytes of text that go through the table together, a longer text by itself.
-PORTION = 1 << 21
+PORTION = 1 << 19
+#: States that the table grows by.
+GROWTH = 8192
 
 
 def portions(texts: list[str | None], limit: int = PORTION) -> Iterator[list[str | None]]:
@@ -127,7 +129,7 @@ class Machine:
             for key in new.tolist():
                 state, change = self.move(key // self.width, self.letters[key % self.width])
                 if len(self.made) * self.width > len(self.next):
-                    grown = np.full(len(self.next), -1, dtype=np.int32)
+                    grown = np.full(GROWTH * self.width, -1, dtype=np.int32)
                     self.next, self.change = np.append(self.next, grown), np.append(self.change, np.zeros(len(grown), dtype=np.int8))
                 self.next[key], self.change[key] = state, change
             out = self.next[flat]
