@@ -26,11 +26,18 @@ def permuted(df: DataFrame, key: str, columns: list[str], seed: int, rows: int |
 
 def importance(df: DataFrame, key: str, groups: dict[str, list[str]], score: Callable[[DataFrame], float], repeats: int = 3, seed: int = 42, higher_is_better: bool = False) -> dict[str, tuple[float, float]]:
     """Per group: mean and deviation of how much worse the score gets."""
-    base, rows, out = score(df), df.count(), {}
-    for name, columns in groups.items():
-        worse = [(base - s if higher_is_better else s - base) for s in (score(permuted(df, key, columns, seed + r, rows)) for r in range(repeats))]
-        mean = sum(worse) / repeats
-        out[name] = (mean, (sum((w - mean) ** 2 for w in worse) / repeats) ** 0.5)
+    base, rows, every = score(df), df.count(), sorted({c for columns in groups.values() for c in columns})
+    worse: dict[str, list[float]] = {name: [] for name in groups}
+    for r in range(repeats):  # one shuffle for all groups: rows change places in the same way for each
+        aside = permuted(df.select("*", *(F.col(c).alias(f"{c}__") for c in every)), key, [f"{c}__" for c in every], seed + r, rows).cache()
+        for name, columns in groups.items():
+            s = score(aside.select(*(F.col(f"{c}__").alias(c) if c in columns else F.col(c) for c in df.columns)))
+            worse[name].append(base - s if higher_is_better else s - base)
+        aside.unpersist()
+    out = {}
+    for name, w in worse.items():
+        mean = sum(w) / repeats
+        out[name] = (mean, (sum((x - mean) ** 2 for x in w) / repeats) ** 0.5)
     return out
 
 

@@ -7,6 +7,7 @@ rows find their node through a CASE expression, so nothing is checkpointed betwe
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
@@ -120,11 +121,12 @@ def best_splits(df: DataFrame, features: list[str], sums: list[str], criterion:
 
     Gain ties go to the feature that comes first, then the lower threshold; tried: that many features of a node, by hash, come
     before the others."""
-    low = F.create_map(*(x for f in features for x in (F.lit(f), F.array(*map(F.lit, edges[f])) if edges[f] else F.array().cast("array<double>"))))
-    long = df.select("t", "node", "w", *sums, F.explode(F.array(*(F.struct(F.lit(i).alias("fi"), F.lit(f).alias("f"), F.col(f).cast("double").alias("v")) for i, f in enumerate(features)))).alias("x")).select("t", "node", "w", *sums, "x.*").where("v is not null")
-    keys = ["t", "node", "fi", "f"]
+    low = F.from_json(F.lit(json.dumps([edges[f] for f in features])), "array<array<double>>")  # one literal, by feature number
+    values = ", ".join(f"cast(`{f}` as double)" for f in features)  # one expression: a call for each feature is slow
+    long = df.select("t", "node", "w", *sums, F.expr(f"posexplode(array({values})) AS (fi, v)")).where("v is not null")
+    keys = ["t", "node", "fi"]
     cells = long.groupBy(*keys, "v").agg(F.sum("w").alias("w"), *(F.sum(s).alias(s) for s in sums))
-    cells = cells.withColumn("bucket", F.size(F.filter(F.element_at(low, F.col("f")), lambda e: e <= F.col("v"))))
+    cells = cells.withColumn("bucket", F.size(F.filter(F.get(low, F.col("fi")), lambda e: e <= F.col("v"))))
     inner = W.partitionBy(*keys, "bucket").orderBy("v")
     cells = cells.withColumns({f"c_{s}": F.sum(s).over(inner) for s in ("w", *sums)}).withColumn("next_in", F.lead("v").over(inner))
     totals = cells.groupBy(*keys, "bucket").agg(*(F.sum(s).alias(f"b_{s}") for s in ("w", *sums)), F.min("v").alias("first"))
@@ -145,7 +147,7 @@ def best_splits(df: DataFrame, features: list[str], sums: list[str], criterion:
         d = d.withColumn("first_", (before < tried).cast("int"))
     else:
         d = d.withColumn("first_", F.lit(1))
-    best = F.max_by(F.struct("f", "threshold", "gain", *(F.col(f"l_{s}") for s in ("w", *sums))), F.struct("first_", F.round("gain", 12), -F.col("fi"), -F.col("threshold")))
+    best = F.max_by(F.struct(F.get(F.from_json(F.lit(json.dumps(features)), "array<string>"), F.col("fi")).alias("f"), "threshold", "gain", *(F.col(f"l_{s}") for s in ("w", *sums))), F.struct("first_", F.round("gain", 12), -F.col("fi"), -F.col("threshold")))
     return d.groupBy("t", "node").agg(best.alias("s")).select("t", "node", "s.*")
 
 

@@ -10,15 +10,16 @@ from terrane.operators import encode, explain, linear, stats, svm, tree
 from terrane.plans.registry import Tables, query
 from terrane.sources import synthetic
 
-#: Embeddings as columns e0 to e7; label below 5 is class 0.
-DIMS = 8
-COLS = [f"e{i}" for i in range(DIMS)]
-EMB = "SELECT vec_id AS id_, " + ", ".join(f"CAST(embedding[{{{i}}}] AS DOUBLE) AS e{i}" for i in range(DIMS)) + ", CAST(CASE WHEN label < 5 THEN 0 ELSE 1 END AS INT) AS y FROM embeddings"
-EMB_SQL = EMB.format(*(i + 1 for i in range(DIMS)))  # arrays start at 1 there
+#: What the SQL reads of the embeddings; label below 5 is class 0. The queries take all coordinates.
+EMB_SQL = "SELECT vec_id AS id_, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(8)) + ", CAST(CASE WHEN label < 5 THEN 0 ELSE 1 END AS INT) AS y FROM embeddings"
 
 
-def _emb(t: Tables) -> DataFrame:
-    return t.sql(EMB.format(*range(DIMS)), "embeddings")
+def _emb(t: Tables) -> tuple[DataFrame, list[str]]:
+    """(id_, a column e0, e1, ... for each coordinate of the longest vector, y), and the names of those columns."""
+    d = t.embeddings
+    dims = d.agg(F.max(F.size("embedding"))).first()[0] or 0
+    cols = [f"e{i}" for i in range(dims)]
+    return d.select(F.col("vec_id").alias("id_"), *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(cols)), F.when(F.col("label") < 5, 0).otherwise(1).alias("y")), cols
 
 
 #: Distinct-valued, small features for one exact split.
@@ -63,34 +64,37 @@ def cart_stump_mse(t: Tables) -> DataFrame:
     return _split(t, "mse")
 
 
-def _tree(t: Tables, depth: int = 4) -> tree.Tree:
-    return tree.grow(_emb(t), COLS, "y", max_depth=depth, min_leaf=5)[0]
+def _tree(d: DataFrame, cols: list[str], depth: int = 4) -> tree.Tree:
+    return tree.grow(d, cols, "y", max_depth=depth, min_leaf=5)[0]
 
 
 @query()
 def cart_tree_predict(t: Tables) -> DataFrame:
-    m = _tree(t)
-    return _emb(t).select("id_", m.predict().alias("label"), F.round(m.probability(), 6).alias("p"), m.node_id().alias("leaf"))
+    d, cols = _emb(t)
+    m = _tree(d, cols)
+    return d.select("id_", m.predict().alias("label"), F.round(m.probability(), 6).alias("p"), m.node_id().alias("leaf"))
 
 
 @query()
 def cart_truncated(t: Tables) -> DataFrame:
     """One deep fit gives the error of each depth."""
-    m = _tree(t)
-    return _emb(t).agg(*(F.round(F.avg((m.predict(d) != F.col("y")).cast("double")), 6).alias(f"error_{d}") for d in range(m.depth() + 1)))
+    d, cols = _emb(t)
+    m = _tree(d, cols)
+    return d.agg(*(F.round(F.avg((m.predict(k) != F.col("y")).cast("double")), 6).alias(f"error_{k}") for k in range(m.depth() + 1)))
 
 
 @query()
 def cart_importance(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(list(_tree(t).importances().items()), "feature string, importance double")
+    return t.spark.createDataFrame(list(_tree(*_emb(t)).importances().items()), "feature string, importance double")
 
 
 @query()
 def saabas_factors(t: Tables) -> DataFrame:
     """Base and effects add up to the prediction."""
-    m = _tree(t)
-    parts = m.path_effects(COLS)
-    return _emb(t).select("id_", F.lit(m.value(m.nodes[0])[-1]).alias("base"), *(c.alias(f) for f, c in parts.items()), m.probability().alias("p"))
+    d, cols = _emb(t)
+    m = _tree(d, cols)
+    parts = m.path_effects(cols)
+    return d.select("id_", F.lit(m.value(m.nodes[0])[-1]).alias("base"), *(c.alias(f) for f, c in parts.items()), m.probability().alias("p"))
 
 
 @query("SELECT 0 AS i, 0 AS j, round(sum(l_quantity * l_quantity), 2) AS v FROM lineitem UNION ALL SELECT 0, 1, round(sum(l_quantity * l_discount), 2) FROM lineitem UNION ALL SELECT 1, 1, round(sum(l_discount * l_discount), 2) FROM lineitem")
@@ -124,59 +128,64 @@ def kmeans_lloyd_step(t: Tables) -> DataFrame:
 
 @query()
 def kmeans_fit(t: Tables) -> DataFrame:
-    d = _emb(t)
-    m = linear.KMeans(COLS, 4, n_init=1, max_iter=15).fit(d)
+    d, cols = _emb(t)
+    d = d.cache()
+    m = linear.KMeans(cols, 4, n_init=1, max_iter=15).fit(d)
     return d.groupBy(m.predict().alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("share"))
 
 
 @query("SELECT " + ", ".join(f"round(covar_samp({a}, {b}), 6) AS {a}_{b}" for a, b in (("e0", "e0"), ("e0", "e1"), ("e1", "e2"), ("e7", "e7"))) + f" FROM ({EMB_SQL})")
 def pca_covariance(t: Tables) -> DataFrame:
-    n, _, g = linear.centred_gram(_emb(t), COLS)
+    n, _, g = linear.centred_gram(*_emb(t))
     v = [("e0_e0", 0, 0), ("e0_e1", 0, 1), ("e1_e2", 1, 2), ("e7_e7", 7, 7)]
     return t.spark.createDataFrame([tuple(float(g[i, j] / (n - 1)) for _, i, j in v)], ", ".join(f"{c} double" for c, _, _ in v)).select(*(F.round(c, 6).alias(c) for c, _, _ in v))
 
 
 @query()
 def pca_fit(t: Tables) -> DataFrame:
-    d = _emb(t)
-    m = linear.PCA(COLS, 3).fit(d)
+    d, cols = _emb(t)
+    m = linear.PCA(cols, 3).fit(d)
     return m.transform(d).select("id_", "pc1", "pc2", "pc3")
 
 
 @query(f"SELECT count(*) AS n, round(sum(2 * y - 1), 6)::DOUBLE AS bias, round(sum((2 * y - 1) * e0), 6) AS g0, round(sum((2 * y - 1) * e7), 6) AS g7 FROM ({EMB_SQL})")
 def pegasos_fullbatch_step(t: Tables) -> DataFrame:
-    n, g, _ = svm.PegasosSVM(COLS).gradient_sums(_emb(t), svm.np.zeros(DIMS + 1), "y")
+    d, cols = _emb(t)
+    n, g, _ = svm.PegasosSVM(cols).gradient_sums(d, svm.np.zeros(len(cols) + 1), "y")
     return t.spark.createDataFrame([(n, float(g[-1]), float(g[0]), float(g[7]))], "n long, bias double, g0 double, g7 double").select("n", "bias", F.round("g0", 6).alias("g0"), F.round("g7", 6).alias("g7"))
 
 
 @query()
 def pegasos_fit(t: Tables) -> DataFrame:
-    d = _emb(t).cache()
-    m = svm.PegasosSVM(COLS, lam=0.01, steps=10, average=True).fit(d, "y")
+    d, cols = _emb(t)
+    d = d.cache()
+    m = svm.PegasosSVM(cols, lam=0.01, steps=10, average=True).fit(d, "y")
     return d.select("id_", F.round(m.score(), 6).alias("score"), m.predict().alias("label"))
 
 
 @query()
 def pegasos_grid(t: Tables) -> DataFrame:
-    return svm.fit_grid(_emb(t), COLS, "y", "id_", [1e-4, 1e-3, 1e-2])
+    return svm.fit_grid(*_emb(t), "y", "id_", [1e-4, 1e-3, 1e-2])
 
 
 @query()
 def svr_fit(t: Tables) -> DataFrame:
-    d = _emb(t).cache()
-    m = svm.PegasosSVR(COLS[1:], lam=0.01, steps=10).fit(d, "e0")
+    d, cols = _emb(t)
+    d = d.cache()
+    m = svm.PegasosSVR(cols[1:], lam=0.01, steps=10).fit(d, "e0")
     return m.tube(d, "e0").withColumn("inside", F.round("inside", 6))
 
 
 @query()
 def rff_kernel_error(t: Tables) -> DataFrame:
-    return svm.kernel_error(_emb(t), svm.FourierFeatures(COLS, 512, 0.5), "id_")
+    d, cols = _emb(t)
+    return svm.kernel_error(d, svm.FourierFeatures(cols, 512, 0.5), "id_")
 
 
 @query()
 def forest_fit(t: Tables) -> DataFrame:
-    d = _emb(t)
-    m = tree.forest(d, COLS, "y", "id_", trees=4, max_depth=3, min_leaf=3)
+    d, cols = _emb(t)
+    m = tree.forest(d, cols, "y", "id_", trees=4, max_depth=3, min_leaf=3)
     return d.select("id_", F.round(m.predict(), 6).alias("p"), F.round(m.out_of_bag(), 6).alias("oob"))
 
 
@@ -197,10 +206,11 @@ def boosting_fit(t: Tables) -> DataFrame:
 
 @query()
 def perm_importance(t: Tables) -> DataFrame:
-    d = _emb(t).cache()
-    m = _tree(t, 3)
+    d, cols = _emb(t)
+    d = d.cache()
+    m = _tree(d, cols, 3)
     score = lambda x: x.agg(F.avg((m.predict() == F.col("y")).cast("double"))).first()[0]
-    got = explain.importance(d, "id_", {c: [c] for c in COLS[:3]}, score, repeats=2, higher_is_better=True)
+    got = explain.importance(d, "id_", {c: [c] for c in cols}, score, repeats=2, higher_is_better=True)
     return t.spark.createDataFrame([(k, *map(float, v)) for k, v in got.items()], "feature string, mean double, std double")
 
 
