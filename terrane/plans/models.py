@@ -108,11 +108,21 @@ def ridge_2d(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(float(m.coef[0]), float(m.coef[1]))], "quantity double, discount double").select(F.round("quantity", 4).alias("quantity"), F.round("discount", 4).alias("discount"))
 
 
+def _lines(t: Tables) -> DataFrame:
+    """Every priced line: id_ (equal lines of an order share it), quantity, discount, tax, price and its logarithm."""
+    d = t.lineitem.where("l_extendedprice > 0").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate").alias("id_"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), F.col("l_extendedprice").alias("price"))
+    return d.withColumn("log_price", F.ln("price"))
+
+
+#: Features of a line.
+LINE = ["quantity", "discount", "tax"]
+
+
 @query()
 def ridge_select(t: Tables) -> DataFrame:
     """Every alpha from one Gram matrix."""
-    d = encode.with_split(encode.with_strata(synthetic.homes(t.spark, 2000), "price"), "row_id").withColumn("log_price", F.ln("price"))
-    best, scores = linear.select_alpha(d.where("split = 'train'"), d.where("split = 'val'"), ["area", "rooms"], "log_price", fixed.RIDGE_ALPHAS)
+    d = encode.with_split(encode.with_strata(_lines(t), "price"), "id_")
+    best, scores = linear.select_alpha(d.where("split = 'train'"), d.where("split = 'val'"), LINE, "log_price", fixed.RIDGE_ALPHAS)
     return t.spark.createDataFrame([(a, float(s), a == best) for a, s in scores.items()], "alpha double, rmse double, best boolean")
 
 
@@ -192,15 +202,15 @@ def forest_fit(t: Tables) -> DataFrame:
 @query()
 def oob_conformal(t: Tables) -> DataFrame:
     """The band of out-of-bag residuals of a regression forest."""
-    d = synthetic.homes(t.spark, 1500).select(F.col("row_id").alias("id_"), "area", "rooms", F.ln("price").alias("log_price"))
-    m = tree.forest(d, ["area", "rooms"], "log_price", "id_", trees=4, max_features=None, task="regression", max_depth=4, min_leaf=5)
+    d = _lines(t)
+    m = tree.forest(d, LINE, "log_price", "id_", trees=4, max_features=None, task="regression", max_depth=4, min_leaf=5)
     return stats.conformal(d.withColumn("r", F.col("log_price") - m.out_of_bag()), "r")
 
 
 @query()
 def boosting_fit(t: Tables) -> DataFrame:
-    d = synthetic.homes(t.spark, 1500).select("row_id", "area", "rooms", F.ln("price").alias("log_price"))
-    m = tree.boost(d, ["area", "rooms"], "log_price", trees=4, rate=0.3, max_depth=2)
+    d = _lines(t)
+    m = tree.boost(d, LINE, "log_price", trees=4, rate=0.3, max_depth=2)
     return d.agg(*(F.round(F.sqrt(F.avg(F.pow(F.col("log_price") - m.predict(k), 2))), 6).alias(f"rmse_{k}") for k in range(5)))
 
 

@@ -35,3 +35,15 @@ def test_importance_of_one_shuffle(spark):
     got = explain.importance(d, "id", {"x": ["x"], "z": ["z"]}, score, repeats=1)
     for c in ("x", "z"):
         assert got[c][0] == pytest.approx(score(explain.permuted(d, "id", [c], 42)) - score(d))
+
+
+def test_queries_read_the_lines(spark, tmp_path):
+    """The target of these lines follows from the quantity alone."""
+    n = 400
+    spark.range(n).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "cast(1 + id % 4 AS double) AS l_quantity", "0.01D * (id % 3) AS l_discount", "0.01D * (id % 5) AS l_tax", "exp(1 + id % 4) AS l_extendedprice", "timestamp '2000-01-01' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["boosting_fit"](spark, str(tmp_path)).first()
+    assert got["rmse_0"] == pytest.approx(np.std([0, 1, 2, 3]), abs=1e-6) and got["rmse_4"] == pytest.approx(got["rmse_0"] * 0.7**4, abs=1e-6)
+    best = [r for r in QUERIES["ridge_select"](spark, str(tmp_path)).collect() if r["best"]]
+    assert len(best) == 1 and best[0]["rmse"] < 0.1
+    band = QUERIES["oob_conformal"](spark, str(tmp_path)).first()
+    assert abs(band["lo"]) < 1e-9 and abs(band["hi"]) < 1e-9
