@@ -5,7 +5,8 @@ WINDOW words or more covers windows of an item; an item shorter than a window mu
 
 Items are read in blocks of bounded size, one automaton each, sent to the executors; documents stream past
 every block, their texts are never shuffled. Nulls and texts without words: no words, no hits, not contaminated.
-Items without words match nothing; repeated items count once per item_id."""
+Items without words match nothing; repeated items count once per item_id.
+An item without an item_id hits like any other and is only left out of the item ids."""
 
 from __future__ import annotations
 
@@ -131,7 +132,7 @@ class Automaton:
 
 def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[Automaton]:
     """One for each block of items; only one block's items are at the driver at a time."""
-    items = benchmark.select(F.col("item_id").alias("item"), whole(F.col("text")).alias("text")).where("item is not null")
+    items = benchmark.select(F.col("item_id").alias("item"), whole(F.col("text")).alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + int(size) // (4 * block_words)
     out = []
@@ -181,7 +182,7 @@ def scanned(texts: Column, machines: list[Automaton]) -> Column:
                         hit = h if hit is None else bytearray(a | b for a, b in zip(hit, h, strict=True))
                 n_words.append(len(w))
                 n_hit.append(sum(hit) if hit else 0)
-                ids.append(sorted(map(str, found)))
+                ids.append(sorted(str(i) for i in found if i is not None))
                 runs.append(_runs(text, hit) if hit else [])
             yield pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(runs, RUNS)], ["n_words", "n_hit", "items", "runs"])
 

@@ -1,7 +1,9 @@
 """Corpus operators do their whole job: what a query is given reaches the operator."""
 
-from terrane.llm import url_filter
-from terrane.llm.queries import QUERIES
+import duckdb
+
+from terrane.llm import decontam, url_filter
+from terrane.llm.queries import ORACLE_SQL, QUERIES
 
 
 def test_url_trees_see_suffix_counts(spark, tmp_path, monkeypatch):
@@ -18,3 +20,19 @@ def test_url_trees_see_suffix_counts(spark, tmp_path, monkeypatch):
 def test_bait_alone_does_not_decide_the_seeds():
     held = [(any(w in u.split("/")[2] for w in url_filter.BAIT), bad) for u, bad in url_filter.seeds()]
     assert {(False, 1), (True, 0)} <= set(held)
+
+
+def test_items_without_an_id_hit(spark):
+    """Hits and verdicts are those of the query's SQL."""
+    items = [(None, "alpha beta gamma delta"), (None, " ".join(f"w{i}" for i in range(20))), (7, "one two three")]
+    docs = [(1, "say alpha beta gamma delta now"), (2, "clean words only"), (3, " ".join(f"w{i}" for i in range(2, 18))), (4, "one two three alpha beta gamma delta")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.report(d, b).collect()}
+    con = duckdb.connect()
+    for name, rows, key in (("documents", docs, "doc_id"), ("benchmark", items, "item_id")):
+        con.execute(f"create table {name} ({key} bigint, text varchar)")
+        con.executemany(f"insert into {name} values (?, ?)", rows)
+    want = {r[0]: r for r in con.execute(ORACLE_SQL["op3_decontamination"]).fetchall()}
+    assert {k: (r["n_words"], r["n_hit"], r["contaminated"]) for k, r in got.items()} == {k: (r[1], r[2], r[5]) for k, r in want.items()}
+    assert {k: (r["n_items"], r["items_sha256"]) for k, r in got.items()} == {k: (n, decontam.items_digest(i)) for k, n, i in ((1, 0, []), (2, 0, []), (3, 0, []), (4, 1, [7]))}
+    assert [r["doc_id"] for r in decontam.decontaminated(d, b).collect()] == [2]
