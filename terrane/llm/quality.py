@@ -4,7 +4,11 @@ often each is right without labels, and the posterior probability of a good docu
 All features are built-in functions over whole texts. The model's statistics are counts of vote patterns over all
 documents, at most 3 ** rules (2 for a rule with two outcomes) of them, whatever the corpus size; so the estimation itself runs at the driver.
 
-Nulls and texts without words: zero words, base_failed. Ties need no rule: each row is judged by itself."""
+Features are computed once and written to the shared folder beside the columns that are carried on; estimating and judging
+read them there.
+
+Nulls and texts without words: zero words, base_failed. Ties and repeated rows need no rule: each row is judged by itself.
+An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -14,7 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import whole
+from terrane.llm.common import whole, written
 
 BLANK = r"[\x20\x09-\x0D]+"
 N, SYMBOLS = 8, "#*$%&|<>"
@@ -40,16 +44,15 @@ def _without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
 
-def with_features(docs: DataFrame) -> DataFrame:
-    """row_ (docs' columns), a struct `q_` of the features, at_. Long arrays live only within a row.
-
-    at_ is there for the optimizer: a filter that depends on it isn't pushed below the features, where every use of a feature
-    would become a copy of its whole expression."""
+def with_features(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """row_ (the carried columns), a struct `q_` of the features. Long arrays live only within a row."""
     t = whole(docs["text"])
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row_"), t.alias("t"), F.filter(F.split(t, BLANK), lambda x: x != "").alias("w"))
+    d = docs.select(F.struct(*(docs[c] for c in carried)).alias("row_"), t.alias("t"), F.filter(F.split(t, BLANK), lambda x: x != "").alias("w"))
     d = d.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    d = d.withColumn("h", F.when(F.size("w") >= N, F.transform(F.sequence(F.lit(1), F.size("w") - N + 1), lambda i: F.xxhash64(F.slice("w", i, N)))).otherwise(F.array().cast("array<bigint>")))
+    d = d.withColumn("c", F.when(F.size("w") >= N, F.transform("w", lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>")))
+    window = lambda x, i: F.xxhash64(x, *(F.get(F.col("c"), i + k) for k in range(1, N)))
+    d = d.withColumn("h", F.transform(F.slice("c", 1, F.greatest(F.size("c") - N + 1, F.lit(0))), window))
     d = d.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).otherwise(F.array().cast("array<struct<x:bigint,i:int>>")))
     same = lambda k: F.get(F.col("s"), k)["x"]
     twice = F.transform("s", lambda s, k: F.when((same(k - 1) == s["x"]) | (same(k + 1) == s["x"]), s["i"]))
@@ -69,7 +72,7 @@ def with_features(docs: DataFrame) -> DataFrame:
         "n_distinct": F.size(F.array_distinct("w")),
         "n_stops": F.length("t") - F.length(_without(F.col("t"), ".!?。")),
     }
-    return d.select("row_", F.struct(*(c.cast("long").alias(n) for n, c in q.items())).alias("q_"), F.spark_partition_id().alias("at_"))
+    return d.select("row_", F.struct(*(c.cast("long").alias(n) for n, c in q.items())).alias("q_"))
 
 
 def votes(q: str = "q_") -> Column:
@@ -142,19 +145,19 @@ def fitted(featured: DataFrame) -> LabelModel:
     return estimate({r["v"]: r["n"] for r in featured.select(votes().alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()})
 
 
-def judged(docs: DataFrame, model: LabelModel | None = None) -> DataFrame:
-    """row_, q_, base_failed, posterior, kept."""
-    d = with_features(docs)
+def judged(docs: DataFrame, carried: list[str] | None = None, model: LabelModel | None = None) -> DataFrame:
+    """row_ (the carried columns, by default all), q_, base_failed, posterior, kept."""
+    d = written(with_features(docs, docs.columns if carried is None else carried))
     model = model or fitted(d)
     q = F.col("q_")
     failed = (q["n_words"] < 20) | (100 * q["n_repeat_words"] > 30 * q["n_words"])
-    d = d.select("row_", "q_", "at_", failed.alias("base_failed"), model.column(votes()).alias("posterior"))
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5) & (F.col("at_") >= 0)).drop("at_")
+    d = d.select("row_", "q_", failed.alias("base_failed"), model.column(votes()).alias("posterior"))
+    return d.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
 
 
 def report(docs: DataFrame) -> DataFrame:
     q = F.col("q_")
-    return judged(docs.select("doc_id", "text")).select(F.col("row_")["doc_id"].alias("doc_id"), *(q[c].alias(c) for c in FEATURES[:5]), "base_failed", "posterior", "kept")
+    return judged(docs, ["doc_id"]).select(F.col("row_")["doc_id"].alias("doc_id"), *(q[c].alias(c) for c in FEATURES[:5]), "base_failed", "posterior", "kept")
 
 
 def accepted(docs: DataFrame) -> DataFrame:
