@@ -3,7 +3,7 @@
 Search. Only distinct fingerprints take part, so copies cost nothing. Cut into m blocks, two fingerprints
 with at most `radius` differing bits agree in some m - radius of them: each such choice of blocks is a key,
 and rows that share it form a bucket. m grows with the number of fingerprints, so that a bucket stays
-small; every m is exact. In a bucket, a table of distances to reference fingerprints (pivots) discards pairs:
+small; every m is exact. In a bucket, a table of distances to PIVOTS reference fingerprints discards pairs:
 by the triangle inequality the largest difference of two rows' coordinates is at most their distance.
 Survivors are verified bit by bit. A bucket gives a spanning set of links, never all its pairs; a bucket
 over BUCKET rows is dealt into chunks and each pair of chunks is a task's work of bounded size.
@@ -12,7 +12,8 @@ Pivot distances alone can't deal the rows out: over 64 bits they crowd at 32 +-
 about half of all pairs for each pivot, and no equality key follows from them. Hence the blocks before the pivots.
 
 Nulls and empty texts: fingerprint zero, linked like any other. A null doc_id is never the smallest
-unless a component has no other."""
+unless a component has no other. Repeated rows share their fingerprint and component. An empty table gives an empty result.
+Groups of any size: a fingerprint or root that many rows hold is joined where its rows are (`common.with_group`)."""
 
 from __future__ import annotations
 
@@ -26,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrane.llm.common import saved, small_batches, whole
+from terrane.llm.common import saved, small_batches, whole, with_group, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-BUCKET, SMALL, PIVOTS = 4096, 8, 8
+BUCKET, SMALL, PIVOTS = 4096, 8, 16
+#: Rows to leave out that are broadcast at most (8 bytes each); more are joined by shuffling.
+LOSERS = 1_000_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -79,7 +82,8 @@ def pivot_table(f: np.ndarray) -> np.ndarray:
 def spanning(f: np.ndarray, side: np.ndarray | None = None, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links that connect what the links of all pairs connect. side: only pairs of different sides count.
 
-    Sorted by the distance to the first pivot, a row's partners lie in a window; the other pivots thin it."""
+    Sorted by the distance to the first pivot, a row's partners lie in a window; the largest coordinate difference
+    over all pivots thins it."""
     table = pivot_table(f)
     order = np.argsort(table[:, 0], kind="stable")
     f, table, side = f[order], table[order], None if side is None else side[order]
@@ -89,8 +93,7 @@ def spanning(f: np.ndarray, side: np.ndarray | None = None, radius: int = RADIUS
         near = np.arange(i + 1, last[i])
         if side is not None:
             near = near[side[near] != side[i]]
-        for p in range(1, 3):
-            near = near[np.abs(table[near, p] - table[i, p]) <= radius]
+        near = near[np.abs(table[near] - table[i]).max(axis=1, initial=0) <= radius]
         near = near[np.bitwise_count(f[near] ^ f[i]) <= radius]
         near = near[label[near] != label[i]]
         while len(near):
@@ -121,15 +124,13 @@ def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, ends = np.append(0, cut), np.append(cut, len(f))
         size = ends - starts
         of, pairs = np.repeat(np.arange(len(starts)), size), []
-        small = (size <= SMALL)[of]
+        small, table = (size <= SMALL)[of], pivot_table(f)
         for o in range(1, SMALL):
             i = np.flatnonzero(small[: len(f) - o] & (of[: len(f) - o] == of[o:]))
             if not len(i):
                 break
+            i = i[np.abs(table[i] - table[i + o]).max(axis=1) <= RADIUS]
             a, b = f[i], f[i + o]
-            for p in pivots():
-                ok = np.abs(np.bitwise_count(a ^ p).astype(np.int8) - np.bitwise_count(b ^ p).astype(np.int8)) <= RADIUS
-                a, b = a[ok], b[ok]
             ok = np.bitwise_count(a ^ b) <= RADIUS
             if ok.any():
                 yield batch(0, np.zeros(int(ok.sum())), np.zeros(int(ok.sum()), dtype=np.int64), a[ok].view(np.int64), b[ok].view(np.int64))
@@ -220,53 +221,60 @@ def links(fps: DataFrame) -> DataFrame:
     return near.unionByName(more).distinct()
 
 
+def _size(e: DataFrame) -> tuple[int, object]:
+    """Rows and a digest of all of them, one row at the driver."""
+    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node reachable. Alternating large and small stars (Kiveris et al., 2014);
-    each round is written to the checkpoint folder."""
+    each round is written to the checkpoint folder. Nodes with many neighbours are no task of their own (`with_group`)."""
     e = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
+    now = _size(e)
+    while now[0]:
+        before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = saved(small.where("u <> v").distinct())
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if tuple(now) == before:
-            return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-        before = tuple(now)
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n_"))
+        large = with_group(both, low, "u", 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = saved(large.where("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n_"))
+        small = with_group(large, low, "u", 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        e = saved(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        now = _size(e)
+        if now == before:
+            break
+    return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """(fp, root, component_id) for each distinct fp of rows (doc_id, fp)."""
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    fps = saved(fps)
+    """(fp, root, component_id, n_) for each distinct fp of rows (doc_id, fp); n_: its rows."""
+    fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_")))
     rooted = components(links(fps.select("fp")))
-    rooted = saved(fps.join(rooted, fps["fp"] == rooted["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(ids, "root").select("fp", "root", "component_id")
+    rooted = saved(fps.join(rooted, fps["fp"] == rooted["node"], "left").select("fp", "least", "n_", F.coalesce("root", "fp").alias("root")))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_"))
+    return with_group(rooted.select("fp", F.col("n_").alias("rows_"), "root"), ids, "root", rooted.count()).select("fp", "root", "component_id", F.col("rows_").alias("n_"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id of every row."""
     small_batches(docs.sparkSession)
     rows = saved(docs.select("doc_id", fingerprint_of(F.col("text")).alias("fp")))
-    out = rows.join(classes(rows).select("fp", "component_id"), "fp")
+    out = with_group(rows, classes(rows).select("fp", "component_id", "n_"), "fp", rows.count())
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each component, with all its columns: the row of the smallest doc_id. Rows that share doc_id and
-    fingerprint count as one; of a component without doc_ids, one of the rows with the root's fingerprint."""
+    """One row of each component, with all its columns: the row of the smallest doc_id; of several such rows, or of a
+    component without doc_ids, that of the smallest fingerprint.
+
+    Rows are written once with their fingerprint and a number; what is decided on is narrow. The numbers that go are
+    broadcast up to LOSERS of them, else rows are joined to them by number."""
     small_batches(docs.sparkSession)
-    rows = saved(docs.select("doc_id", fingerprint_of(F.col("text")).alias("fp")))
-    of = classes(rows)
-    mine = rows.join(of, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("component_id").isNotNull() | (F.col("fp") == F.col("root"))))
-    keep = mine.groupBy("root").agg(F.min("doc_id").alias("keep_id"), F.min("fp").alias("keep_fp")).select("keep_id", "keep_fp")
     names = docs.columns
-    marked = docs.select(F.struct(*(docs[c] for c in names)).alias("row_"), docs["doc_id"].alias("id_"), fingerprint_of(docs["text"]).alias("fp_"))
-    kept = marked.join(keep, marked["id_"].eqNullSafe(keep["keep_id"]) & (marked["fp_"] == keep["keep_fp"]), "left_semi")
-    kept = kept.groupBy("id_", "fp_").agg(F.first("row_").alias("row_"))
-    return kept.select(*(F.col("row_")[c].alias(c) for c in names))
+    marked = written(docs.select(F.struct(*(docs[c] for c in names)).alias("row_"), fingerprint_of(docs["text"]).alias("fp"), F.monotonically_increasing_id().alias("at_")))
+    rows = marked.select(F.col("row_.doc_id").alias("doc_id"), "fp", "at_")
+    rows = saved(with_group(rows, classes(rows).select("fp", "root", "n_"), "fp", marked.count()).select("root", "at_", F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "at_").alias("rank_")))
+    first = rows.groupBy("root").agg(F.min_by("at_", "rank_").alias("at_")).select("at_")
+    losers = saved(rows.select("at_").join(first, "at_", "left_anti"))
+    losers = F.broadcast(losers) if losers.count() <= LOSERS else losers
+    return marked.join(losers, "at_", "left_anti").select(*(F.col("row_")[c].alias(c) for c in names))
