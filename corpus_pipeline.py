@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from terrane.llm import decontam, packing, quality, secret_scan, simhash
-from terrane.llm.common import shared_dir, table
+from terrane.llm.common import removed, shared_dir, table, working
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +49,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         at = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(at)
+        with working(spark):
+            stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if k:
+            removed(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
