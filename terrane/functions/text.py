@@ -94,9 +94,9 @@ def rate(currency: Column) -> Column:
 
 
 def parse_attributes(c: Column) -> Column:
-    """map<string,string> of a JSON object, a list of {name|key, value}, a quoted literal, or 'k: v' pairs. Later keys win."""
+    """map<string,string> of a JSON object, a list of {name|key, value}, a quoted literal, or 'k: v' pairs. Later keys win. Null for an object or list that doesn't parse."""
     s = F.trim(c)
-    quoted = F.replace(F.replace(F.replace(F.replace(s, F.lit("'"), F.lit('"')), F.lit(": None"), F.lit(": null")), F.lit(": True"), F.lit(": true")), F.lit(": False"), F.lit(": false"))
+    quoted = literal_to_json(s)
     as_map = lambda x: F.when(x.startswith("{"), F.from_json(x, "map<string,string>"))
 
     def as_list(x: Column) -> Column:
@@ -105,7 +105,26 @@ def parse_attributes(c: Column) -> Column:
 
     parts = F.filter(F.split(s, r"[;\n|]"), lambda p: F.contains(p, F.lit(":")))
     pairs = _entries(F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, ":", 1)).alias("key"), F.trim(F.regexp_replace(p, r"^[^:]*:", "")).alias("value"))))
-    return F.coalesce(as_map(s), as_list(s), as_map(quoted), as_list(quoted), pairs)
+    return F.coalesce(as_map(s), as_list(s), as_map(quoted), as_list(quoted), F.when(~s.rlike(r"^[\[{]"), pairs))
+
+
+#: A string in single quotes, one in double quotes, or a word: the tokens of a quoted literal that JSON spells in another way.
+_TOKEN = r"""'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+"|[A-Za-z]++"""
+_WORDS = {"True": "true", "False": "false", "None": "null"}
+
+
+def literal_to_json(c: Column) -> Column:
+    """A literal of dictionaries, lists, quoted strings, numbers, True, False and None as JSON. What is no such literal comes
+    out as something that doesn't parse."""
+    words = F.create_map(*(F.lit(x) for kv in _WORDS.items() for x in kv))
+
+    def token(t: Column) -> Column:
+        inner = F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit("\\'"), F.lit("'"))
+        double = F.concat(F.lit('"'), F.regexp_replace(inner, r'(?<!\\)"', r'\\"'), F.lit('"'))
+        return F.when(t.startswith("'"), double).otherwise(F.coalesce(F.try_element_at(words, t), t))
+
+    between, tokens = F.split(c, _TOKEN, -1), F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0))
+    return F.array_join(F.zip_with(between, tokens, lambda a, t: F.concat(a, F.coalesce(token(t), F.lit("")))), "")
 
 
 def _entries(pairs: Column) -> Column:

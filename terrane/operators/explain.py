@@ -8,28 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from terrane.functions.numbering import numbered
 from terrane.functions.numeric import hash32
+from terrane.operators.encode import SPREAD
 
-#: Rows among which values are exchanged: a bucket is one task's work.
-BUCKET = 10_000
-
-
-def permuted(df: DataFrame, key: str, columns: list[str], seed: int, rows: int | None = None) -> DataFrame:
-    """df with the given columns shuffled together. Values change places within buckets of about BUCKET rows by hash, so that
-    a shuffle of any table stays in bounded tasks."""
-    n = max(1, (rows if rows is not None else df.count()) // BUCKET)
-    d = df.withColumn("b_", F.pmod(F.xxhash64(key), F.lit(n)))
-    here = d.withColumn("r_", F.row_number().over(W.partitionBy("b_").orderBy(key)))
-    there = d.select("b_", F.row_number().over(W.partitionBy("b_").orderBy(hash32(seed, F.col(key)), key)).alias("r_"), *columns)
-    return here.drop(*columns).join(there, ["b_", "r_"]).drop("b_", "r_")
+def permuted(df: DataFrame, key: str, columns: list[str], seed: int) -> DataFrame:
+    """df with the given columns shuffled together over the whole table: the row at a place by key takes the values of the row
+    at that place of a seeded shuffle. Places are numbered in two levels, so no task sees the whole table."""
+    d = df.withColumns({"all_": F.lit(0), "here_": hash32(0, F.col(key)), "there_": hash32(seed + 1, F.col(key))})
+    here = numbered(d.drop("there_"), "all_", "here_", [key], SPREAD, "place_", hash_bits=32).drop("all_", "here_", *columns)
+    there = numbered(d.select("all_", "there_", key, *columns), "all_", "there_", [key], SPREAD, "place_", hash_bits=32)
+    return here.join(there.select("place_", *columns), "place_").drop("place_")
 
 
 def importance(df: DataFrame, key: str, groups: dict[str, list[str]], score: Callable[[DataFrame], float], repeats: int = 3, seed: int = 42, higher_is_better: bool = False) -> dict[str, tuple[float, float]]:
     """Per group: mean and deviation of how much worse the score gets."""
-    base, rows, every = score(df), df.count(), sorted({c for columns in groups.values() for c in columns})
+    base, every = score(df), sorted({c for columns in groups.values() for c in columns})
     worse: dict[str, list[float]] = {name: [] for name in groups}
     for r in range(repeats):  # one shuffle for all groups: rows change places in the same way for each
-        aside = permuted(df.select("*", *(F.col(c).alias(f"{c}__") for c in every)), key, [f"{c}__" for c in every], seed + r, rows).cache()
+        aside = permuted(df.select("*", *(F.col(c).alias(f"{c}__") for c in every)), key, [f"{c}__" for c in every], seed + r).cache()
         for name, columns in groups.items():
             s = score(aside.select(*(F.col(f"{c}__").alias(c) if c in columns else F.col(c) for c in df.columns)))
             worse[name].append(base - s if higher_is_better else s - base)

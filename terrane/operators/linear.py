@@ -8,23 +8,29 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.functions import matrix
+
+
+def _gram(df: DataFrame, columns: matrix.Columns) -> np.ndarray:
+    """Sums of products, as a matrix; a null counts as 0."""
+    d = len(columns) if not isinstance(columns, str) else None
+    got = matrix.sums(df, columns, {}, lambda x: (x.T @ x).ravel())
+    d = d if d is not None else int(len(got) ** 0.5)
+    return got.reshape(d, d) if len(got) else np.zeros((d, d))
+
 
 def gram(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(i, j, v): sums of products, i <= j. One row of len(columns)**2 / 2 sums is all that leaves the executors."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    sums = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.sum(F.col(columns[i]) * F.col(columns[j])).alias("v")) for i, j in pairs]
-    return df.agg(F.array(*sums).alias("r")).select(F.inline("r"))
+    """(i, j, v): sums of products, i <= j. One small matrix for each partition is all that leaves the executors."""
+    g = _gram(df, columns)
+    return df.sparkSession.createDataFrame([(i, j, float(g[i, j])) for i in range(len(columns)) for j in range(i, len(columns))], "i int, j int, v double")
 
 
 def centred_gram(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, means, sums of centred products)."""
-    r = df.agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns))).first()
-    mean = np.array([r[f"m{i}"] or 0.0 for i in range(len(columns))])
-    d = df.select(*((F.col(c) - F.lit(float(m))).alias(f"c{i}") for i, (c, m) in enumerate(zip(columns, mean, strict=True))))
-    g = np.zeros((len(columns), len(columns)))
-    for x in gram(d, d.columns).collect():
-        g[x["i"], x["j"]] = g[x["j"], x["i"]] = x["v"] or 0.0
-    return r["n"], mean, g
+    """(n, means, sums of centred products). A null counts as its column's mean."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(c).cast("double") for c in columns)).alias("m")).first()
+    mean = np.array([v or 0.0 for v in r["m"]])
+    centred = df.select(*((F.coalesce(F.col(c).cast("double"), F.lit(float(m))) - F.lit(float(m))).alias(f"c{i}") for i, (c, m) in enumerate(zip(columns, mean, strict=True))))
+    return r["n"], mean, _gram(centred, centred.columns)
 
 
 def linear(weights: np.ndarray, columns: list[str], intercept: float = 0.0) -> Column:
@@ -84,6 +90,11 @@ class PCA:
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({f"pc{i + 1}": linear(c, self.columns, -float(c @ self.mean)) for i, c in enumerate(self.components)})
 
+    def variance_table(self, df: DataFrame) -> DataFrame:
+        """(component, ratio, total): each component's share of the variance, and the running total."""
+        rows = [(i + 1, float(r), float(t)) for i, (r, t) in enumerate(zip(self.ratio, np.cumsum(self.ratio), strict=True))]
+        return df.sparkSession.createDataFrame(rows, "component int, ratio double, total double")
+
     def enough(self, share: float = 0.9) -> int:
         return int(np.searchsorted(np.cumsum(self.ratio), share - 1e-12) + 1)
 
@@ -140,3 +151,9 @@ class KMeans:
 
     def predict(self) -> Column:
         return nearest(self.columns, self.centres)["k"]
+
+    def report(self, df: DataFrame, error: Column | None = None) -> DataFrame:
+        """(cluster, n, inertia) of each cluster, and the root mean square of `error` over its rows."""
+        d = df.withColumn("near_", nearest(self.columns, self.centres))
+        extra = [F.sqrt(F.avg(F.pow(error, 2))).alias("rmse")] if error is not None else []
+        return d.groupBy(F.col("near_.k").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.sum("near_.d").alias("inertia"), *extra)

@@ -1,11 +1,12 @@
-"""Exact metrics. Ranks and curves work on distinct scores with counts, so a window sees no more rows than there are scores."""
+"""Exact metrics. Ranks and curves work on distinct scores with counts; their running sums are two-level, so that distinct
+scores of any number fit."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from terrane.functions.numbering import running
 from terrane.functions.numeric import ratio
 
 
@@ -46,8 +47,7 @@ def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
 def by_score(df: DataFrame, y: str, score: str) -> DataFrame:
     """(score, pos, neg), then tp and fp from the highest score down."""
     d = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
-    w = W.orderBy(F.desc("score"))
-    return d.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
+    return running(d, "score", {"tp": "pos", "fp": "neg"}, descending=True)
 
 
 def _totals(d: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def _totals(d: DataFrame) -> DataFrame:
 def ranks(df: DataFrame, value: str) -> DataFrame:
     """(value, n, rank): average ranks of ties."""
     d = df.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return d.withColumn("rank", F.sum("n").over(W.orderBy("value")) - (F.col("n") - 1) / 2.0)
+    return running(d, "value", {"rank": "n"}).withColumn("rank", F.col("rank") - (F.col("n") - 1) / 2.0)
 
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -85,18 +85,12 @@ def average_precision(df: DataFrame, y: str, score: str) -> DataFrame:
     return d.crossJoin(_totals(d)).agg((F.sum(F.col("pos") * ratio(F.col("tp"), F.col("tp") + F.col("fp"))) / F.max("p")).alias("average_precision"))
 
 
-def gini(counts: list[Column]) -> Column:
-    n = sum(counts[1:], counts[0])
-    out = F.lit(1.0)
-    for c in counts:
-        out = out - F.pow(ratio(c, n), 2)
-    return out
+def classification_metrics(df: DataFrame, y: str, label: str, score: str) -> DataFrame:
+    """One row: accuracy, precision, recall, f1 of the label, roc_auc and average_precision of the score."""
+    d = confusion(df, y, label).select("accuracy", "precision", "recall", "f1")
+    return d.crossJoin(F.broadcast(roc_auc(df, y, score))).crossJoin(F.broadcast(average_precision(df, y, score)))
 
 
-def entropy(counts: list[Column]) -> Column:
-    n = sum(counts[1:], counts[0])
-    out = F.lit(0.0)
-    for c in counts:
-        p = ratio(c, n)
-        out = out - F.when(p > 0, p * F.log2(p)).otherwise(0.0)
-    return out
+def over_folds(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Mean and population deviation of each column over the rows of a group."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("folds"), *(f(c).alias(f"{k}_{c}") for c in columns for k, f in (("mean", F.avg), ("std", F.stddev_pop))))

@@ -2,22 +2,29 @@
 
 A level is one job for all open nodes of all trees: rows go to (tree, node, feature, value) sums, combined before
 the shuffle; sorted running sums give every threshold's gain. The running sums are two-level (within value buckets, then over bucket
-totals), so no feature of a node has to fit one task. Trees live at the driver as node tables, bounded by their depth;
-rows find their node through a CASE expression, so nothing is checkpointed between levels."""
+totals), so no feature of a node has to fit one task. Trees live at the driver as node tables; rows find their node through a CASE
+expression, or, beyond SMALL nodes, by walking down the tables (`descend`), with the same result. Nothing is checkpointed
+between levels. A missing value takes no part in choosing a split on its feature and goes right."""
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from terrane.functions import matrix
 from terrane.functions.numeric import hash32, ratio
+from terrane.operators.descend import Nodes
 
 BUCKETS = 64
+#: Nodes up to which a tree is written out as an expression.
+SMALL = 200
 
 
 @dataclass
@@ -46,36 +53,56 @@ class Tree:
     def value(self, node: Node) -> list[float]:
         return [c / node.n for c in node.sums] if self.task == "classification" else [node.sums[0] / node.n]
 
-    def _walk(self, leaf, at: int = 0, depth: int | None = None) -> Column:
-        node = self.nodes[at]
-        if node.left is None or (depth is not None and node.depth >= depth):
-            return leaf(node)
-        return F.when(F.col(node.feature) <= F.lit(node.threshold), self._walk(leaf, node.left, depth)).otherwise(self._walk(leaf, node.right, depth))
+    def features(self) -> list[str]:
+        return sorted({n.feature for n in self.nodes if n.left is not None})
+
+    def arrays(self, features: list[str], values: list[float] | None = None) -> Nodes:
+        """The tree over columns in the given order. values: of the nodes; by default the mean, or the last class's share."""
+        at = {f: i for i, f in enumerate(features)}
+        values = [self.value(n)[-1] for n in self.nodes] if values is None else values
+        number = lambda xs, kind: np.array(xs, dtype=kind)
+        inner = [n.left is not None for n in self.nodes]
+        return Nodes(
+            number([at[n.feature] if i else -1 for n, i in zip(self.nodes, inner, strict=True)], np.int64),
+            number([n.threshold if i else 0.0 for n, i in zip(self.nodes, inner, strict=True)], float),
+            number([n.left or 0 for n in self.nodes], np.int64),
+            number([n.right or 0 for n in self.nodes], np.int64),
+            number([n.depth for n in self.nodes], np.int64),
+            number(values, float),
+        )
+
+    def _walk(self, values: list[float], depth: int | None = None) -> Column:
+        """The value of the node that a row ends in."""
+        if len(self.nodes) > SMALL:
+            return F.get(_tables([self], [values], self.features(), depth), F.lit(0))
+
+        def branch(at: int) -> Column:
+            node = self.nodes[at]
+            if node.left is None or (depth is not None and node.depth >= depth):
+                return F.lit(float(values[at]))
+            return F.when(F.col(node.feature) <= F.lit(node.threshold), branch(node.left)).otherwise(branch(node.right))
+
+        return branch(0)
 
     def node_id(self, depth: int | None = None) -> Column:
-        return self._walk(lambda n: F.lit(n.id), depth=depth)
+        return self._walk([n.id for n in self.nodes], depth).cast("int")
+
+    def _label(self, node: Node) -> int:
+        return max(range(self.classes), key=lambda c: (node.sums[c], -c))
 
     def predict(self, depth: int | None = None) -> Column:
         """The mean, or the most probable class, the lowest of equals. depth: as if grown to it."""
         if self.task == "regression":
-            return self._walk(lambda n: F.lit(self.value(n)[0]), depth=depth)
-        return self._walk(lambda n: F.lit(max(range(self.classes), key=lambda c: (n.sums[c], -c))), depth=depth)
+            return self._walk([self.value(n)[0] for n in self.nodes], depth)
+        return self._walk([self._label(n) for n in self.nodes], depth).cast("int")
 
     def probability(self, label: int = 1, depth: int | None = None) -> Column:
-        return self._walk(lambda n: F.lit(self.value(n)[label]), depth=depth)
+        return self._walk([self.value(n)[label] for n in self.nodes], depth)
 
     def path_effects(self, features: list[str]) -> dict[str, Column]:
         """Per feature, the change of the value along a row's path that its splits cause; they add up to the prediction
         less the root's value."""
-
-        def walk(at: int, f: str) -> Column:
-            n = self.nodes[at]
-            if n.left is None:
-                return F.lit(0.0)
-            step = lambda c: F.lit(self.value(self.nodes[c])[-1] - self.value(n)[-1] if n.feature == f else 0.0) + walk(c, f)
-            return F.when(F.col(n.feature) <= F.lit(n.threshold), step(n.left)).otherwise(step(n.right))
-
-        return {f: walk(0, f) for f in features}
+        return path_effects([self], features)
 
     def depth(self) -> int:
         return max(n.depth for n in self.nodes)
@@ -99,6 +126,28 @@ class Tree:
         return f"{indent}{n.feature} <= {n.threshold:.3f}\n{self.export_text(most, n.left, indent + '|   ')}{indent}{n.feature} > {n.threshold:.3f}\n{self.export_text(most, n.right, indent + '|   ')}"
 
 
+def _tables(trees: list[Tree], values: list[list[float]], features: list[str], depth: int | None = None) -> Column:
+    """array<double>: the value of the node that a row ends in, for each tree."""
+    tables = [t.arrays(features, v) for t, v in zip(trees, values, strict=True)]
+
+    def of(x: np.ndarray) -> np.ndarray:
+        return np.stack([t.value[t.leaves(x, depth)] for t in tables], axis=1)
+
+    return matrix.mapped(features, of, missing=True)
+
+
+def path_effects(trees: list[Tree], features: list[str]) -> dict[str, Column]:
+    """Mean over the trees of what each feature's splits change along a row's path; with the mean of the root values they add up
+    to the prediction."""
+    tables = [t.arrays(features) for t in trees]
+
+    def of(x: np.ndarray) -> np.ndarray:
+        return sum(t.effects(x, len(features)) for t in tables) / len(tables)
+
+    all_ = matrix.mapped(features, of, missing=True)
+    return {f: F.get(all_, F.lit(i)) for i, f in enumerate(features)}
+
+
 def impurity(sums: list[Column], n: Column, criterion: str) -> Column:
     if criterion == "mse":
         return F.greatest(ratio(sums[1], n) - F.pow(ratio(sums[0], n), 2), F.lit(0.0))
@@ -158,9 +207,11 @@ def edges_of(df: DataFrame, features: list[str], buckets: int = BUCKETS) -> dict
     return {f: sorted(set(r[f] or [])) for f in features}
 
 
-def grow(df: DataFrame, features: list[str], y: str, task: str = "classification", criterion: str | None = None, classes: int = 2, trees: int = 1, weight: Column | None = None, max_depth: int = 6, min_split: float = 2, min_leaf: float = 1, min_decrease: float = 0.0, max_features: int | str | float | None = None, seed: int = 42) -> list[Tree]:
-    """trees over df; weight: of a row in tree `t` (a column expression over `t`), 1 by default."""
+def grow(df: DataFrame, features: list[str], y: str, task: str = "classification", criterion: str | None = None, classes: int = 2, trees: int = 1, weight: Column | None = None, max_depth: int | None = 6, min_split: float = 2, min_leaf: float = 1, min_decrease: float = 0.0, max_features: int | str | float | None = None, seed: int = 42) -> list[Tree]:
+    """trees over df; weight: of a row in tree `t` (a column expression over `t`), 1 by default. max_depth: None for no bound."""
     criterion = criterion or ("gini" if task == "classification" else "mse")
+    if criterion not in (("gini", "entropy") if task == "classification" else ("mse",)):
+        raise ValueError(f"no criterion of {task}: {criterion}")
     d = len(features)
     tried = {"sqrt": max(1, int(math.sqrt(d))), "log2": max(1, int(math.log2(d))), None: None}.get(max_features, max_features) if not isinstance(max_features, float) else max(1, int(max_features * d))
     shift = 0.0
@@ -170,25 +221,28 @@ def grow(df: DataFrame, features: list[str], y: str, task: str = "classification
     edges = edges_of(df, features)
     out = [Tree(task, criterion, classes) for _ in range(trees)]
 
-    def rows(at: list[Column]) -> DataFrame:
-        """A row for each tree it takes part in, with its node (-1: in a leaf)."""
-        each = F.array(*(F.struct(F.lit(t).alias("t"), c.alias("node")) for t, c in enumerate(at)))
-        x = df.select(y, *features, *(c for c in df.columns if c.endswith("_")), F.explode(each).alias("e")).select("*", "e.t", "e.node").drop("e").where("node >= 0")
+    def rows(at: Column) -> DataFrame:
+        """A row for each tree it takes part in, with its node (-1: in a leaf). at: the node for each tree."""
+        x = df.select(y, *features, *(c for c in df.columns if c.endswith("_")), F.posexplode(at).alias("t", "node")).withColumn("node", F.col("node").cast("int")).where("node >= 0")
         x = x.withColumn("w", (weight if weight is not None else F.lit(1.0)).cast("double")).where("w > 0")
         yy = F.col(y).cast("double") - shift
         s = [F.when(F.col(y) == c, F.col("w")).otherwise(0.0) for c in range(classes)] if task == "classification" else [F.col("w") * yy, F.col("w") * yy * yy]
         return x.withColumns(dict(zip(sums, s, strict=True)))
 
-    for r in rows([F.lit(0)] * trees).groupBy("t").agg(F.sum("w").alias("w"), *(F.sum(s).alias(s) for s in sums)).collect():
+    for r in rows(F.array(*([F.lit(0.0)] * trees))).groupBy("t").agg(F.sum("w").alias("w"), *(F.sum(s).alias(s) for s in sums)).collect():
         v = [r[s] for s in sums]
         out[r["t"]].nodes.append(Node(0, 0, r["w"], v, _impurity(v, r["w"], criterion)))
     root_n = [t.nodes[0].n if t.nodes else 0.0 for t in out]
-    for depth in range(max_depth):
+    for depth in itertools.count() if max_depth is None else range(max_depth):
         may = [[n for n in t.nodes if n.depth == depth and n.left is None and n.n >= max(min_split, 2 * min_leaf) and n.impurity > 1e-12] for t in out]
         if not any(may):
             break
         ids = [{n.id for n in m} for m in may]
-        at = [t._walk(lambda n, k=k: F.lit(n.id if n.id in ids[k] else -1)) if t.nodes else F.lit(-1) for k, t in enumerate(out)]
+        values = [[n.id if n.id in ids[k] else -1 for n in t.nodes] for k, t in enumerate(out)]
+        if sum(len(t.nodes) for t in out) > SMALL and all(t.nodes for t in out):
+            at = _tables(out, values, features)
+        else:
+            at = F.array(*(t._walk(v) if t.nodes else F.lit(-1.0) for t, v in zip(out, values, strict=True)))
         split = False
         for r in best_splits(rows(at), features, sums, criterion, min_leaf, edges, tried, seed).collect():  # a row for each open node
             t = out[r["t"]]
@@ -229,21 +283,48 @@ class Forest:
     key: str
     seed: int
 
+    def each(self, stages: int | None = None) -> Column:
+        """array<double>: each tree's value, or its probability of class 1."""
+        ts = self.trees[:stages]
+        values = [[t.value(n)[-1] for n in t.nodes] for t in ts]
+        if sum(len(t.nodes) for t in ts) > SMALL:
+            return _tables(ts, values, sorted({f for t in ts for f in t.features()}))
+        return F.array(*(t._walk(v) for t, v in zip(ts, values, strict=True)))
+
     def predict(self, stages: int | None = None) -> Column:
         """Mean value, or mean probability of class 1."""
-        ts = self.trees[:stages]
-        one = lambda t: t.predict() if t.task == "regression" else t.probability()
-        return sum((one(t) for t in ts[1:]), one(ts[0])) / float(len(ts))
+        return F.aggregate(self.each(stages), F.lit(0.0), lambda acc, v: acc + v) / float(len(self.trees[:stages]))
+
+    def staged(self) -> Column:
+        """array<double>: the prediction of the first tree, of the first two, and so on."""
+        start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("out"))
+        step = lambda acc, v: F.struct((acc["sum"] + v).alias("sum"), F.concat(acc["out"], F.array((acc["sum"] + v) / (F.size(acc["out"]) + 1.0))).alias("out"))
+        return F.aggregate(self.each(), start, step, lambda acc: acc["out"])
+
+    def spread(self, low: float = 0.1, high: float = 0.9) -> tuple[Column, Column]:
+        """Linear quantiles of the trees' values for a row."""
+        values = F.sort_array(self.each())
+        n = len(self.trees) - 1
+
+        def at(q: float) -> Column:
+            k = int(q * n)
+            below, above = F.get(values, F.lit(k)), F.get(values, F.lit(min(k + 1, n)))
+            return below + (q * n - k) * (above - below)
+
+        return at(low), at(high)
+
+    def path_effects(self, features: list[str]) -> dict[str, Column]:
+        return path_effects(self.trees, features)
+
+    def base(self) -> float:
+        """Mean of the root values: the prediction before any split."""
+        return sum(t.value(t.nodes[0])[-1] for t in self.trees) / len(self.trees)
 
     def out_of_bag(self) -> Column:
         """Mean over the trees that didn't draw the row; null if all did."""
-        total, n = F.lit(0.0), F.lit(0)
-        for k, t in enumerate(self.trees):
-            u = hash32(self.seed, F.lit(k), F.col(self.key)) / F.lit(4294967296.0)
-            out = u < math.exp(-1)
-            total = total + F.when(out, t.predict() if t.task == "regression" else t.probability()).otherwise(0.0)
-            n = n + out.cast("int")
-        return F.try_divide(total, n.cast("double"))
+        drawn = [hash32(self.seed, F.lit(k), F.col(self.key)) / F.lit(4294967296.0) < math.exp(-1) for k in range(len(self.trees))]
+        left = F.filter(F.arrays_zip(self.each().alias("v"), F.array(*drawn).alias("out")), lambda e: e["out"])
+        return F.try_divide(F.aggregate(left, F.lit(0.0), lambda acc, e: acc + e["v"]), F.size(left).cast("double"))
 
 
 def forest(df: DataFrame, features: list[str], y: str, key: str, trees: int = 8, max_features: int | str | float | None = "sqrt", seed: int = 42, **params) -> Forest:
@@ -256,37 +337,68 @@ class Boosted:
     base: float
     rate: float
     trees: list[Tree]
+    losses: list[float] = field(default_factory=list)  # mean squared error on the fit rows after each tree
 
     def predict(self, stages: int | None = None) -> Column:
-        out = F.lit(self.base)
-        for t in self.trees[:stages]:
-            out = out + self.rate * t.predict()
-        return out
+        ts = self.trees[:stages]
+        if not ts:
+            return F.lit(self.base)
+        return F.lit(self.base) + self.rate * F.aggregate(Forest(ts, "", 0).each(), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def boost(df: DataFrame, features: list[str], y: str, trees: int = 20, rate: float = 0.1, max_depth: int = 4, min_leaf: float = 1) -> Boosted:
+def boost(df: DataFrame, features: list[str], y: str, trees: int = 20, rate: float = 0.1, max_depth: int | None = 4, min_leaf: float = 1) -> Boosted:
     """Residual trees from the mean on; every tree is scaled by the rate."""
     model = Boosted(float(df.agg(F.avg(y)).first()[0]), rate, [])
     for _ in range(trees):
         d = df.withColumn("residual", F.col(y) - model.predict())
         model.trees += grow(d, features, "residual", task="regression", max_depth=max_depth, min_leaf=min_leaf)
+        model.losses.append(float(df.agg(F.avg(F.pow(F.col(y) - model.predict(), 2))).first()[0]))
     return model
 
 
-def compare(a: Tree, b: Tree, tolerance: float = 1e-9) -> dict[str, int]:
-    """Lockstep walk of two trees: same_split, tie (other split, same gain), decision_mismatch, gain_mismatch, leaves."""
-    out = dict.fromkeys(("same_split", "tie", "decision_mismatch", "gain_mismatch", "leaves"), 0)
-    todo = [(0, 0)]
+@dataclass
+class Labels:
+    """Classes of any values, numbered in their order; a tree works on the numbers."""
+
+    values: list
+
+    @staticmethod
+    def of(df: DataFrame, y: str, most: int = 1000) -> Labels:
+        got = [r[0] for r in df.where(F.col(y).isNotNull()).select(y).distinct().limit(most + 1).collect()]
+        if len(got) > most:
+            raise ValueError(f"more than {most} classes")
+        return Labels(sorted(got))
+
+    def number(self, c: Column) -> Column:
+        return F.array_position(F.array(*map(F.lit, self.values)), c).cast("int") - 1
+
+    def value(self, c: Column) -> Column:
+        return F.get(F.array(*map(F.lit, self.values)), c)
+
+
+def compare(a: Tree, b: Tree, df: DataFrame | None = None, tolerance: float = 1e-9) -> dict[str, int]:
+    """Lockstep walk of two trees: same_split, float32 (thresholds that are equal in single precision), same_partition (other
+    splits that deal df's rows in the same way), tie (the same gain), decision_mismatch, gain_mismatch, leaves. Below a node whose
+    splits aren't the same the walk ends."""
+    out = dict.fromkeys(("same_split", "same_partition", "tie", "float32", "gain_mismatch", "decision_mismatch", "leaves"), 0)
+    todo, unlike = [(0, 0, F.lit(True))], []
     while todo:
-        i, j = todo.pop()
+        i, j, here = todo.pop()
         m, n = a.nodes[i], b.nodes[j]
         if m.left is None and n.left is None:
             out["leaves"] += 1
         elif m.left is None or n.left is None:
             out["decision_mismatch"] += 1
-        elif m.feature == n.feature and abs(m.threshold - n.threshold) <= tolerance * max(1.0, abs(m.threshold)):
-            out["same_split"] += 1
-            todo += [(m.left, n.left), (m.right, n.right)]
         else:
-            out["tie" if abs(m.gain - n.gain) <= tolerance else "gain_mismatch"] += 1
+            low = F.col(m.feature) <= F.lit(m.threshold)
+            near = m.feature == n.feature and abs(m.threshold - n.threshold) <= tolerance * max(1.0, abs(m.threshold))
+            single = m.feature == n.feature and np.float32(m.threshold) == np.float32(n.threshold)
+            if near or single:
+                out["same_split" if near else "float32"] += 1
+                todo += [(m.left, n.left, here & low), (m.right, n.right, here & ~low)]
+            else:
+                unlike.append((here, low, F.col(n.feature) <= F.lit(n.threshold), abs(m.gain - n.gain) <= tolerance))
+    alike = df.agg(*(F.count_if(here & (p != q)).alias(f"c{k}") for k, (here, p, q, _) in enumerate(unlike))).first() if unlike and df is not None else [1] * len(unlike)
+    for (_, _, _, tie), differ in zip(unlike, alike, strict=True):
+        out["same_partition" if not differ else "tie" if tie else "gain_mismatch"] += 1
     return out

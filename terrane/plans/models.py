@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,7 +162,7 @@ def pca_fit(t: Tables) -> DataFrame:
 @query(f"SELECT count(*) AS n, round(sum(2 * y - 1), 6)::DOUBLE AS bias, round(sum((2 * y - 1) * e0), 6) AS g0, round(sum((2 * y - 1) * e7), 6) AS g7 FROM ({EMB_SQL})")
 def pegasos_fullbatch_step(t: Tables) -> DataFrame:
     d, cols = _emb(t)
-    n, g, _ = svm.PegasosSVM(cols).gradient_sums(d, svm.np.zeros(len(cols) + 1), "y")
+    n, g, _ = svm.PegasosSVM(cols).gradient_sums(d, np.zeros(len(cols) + 1), "y")
     return t.spark.createDataFrame([(n, float(g[-1]), float(g[0]), float(g[7]))], "n long, bias double, g0 double, g7 double").select("n", "bias", F.round("g0", 6).alias("g0"), F.round("g7", 6).alias("g7"))
 
 
@@ -192,6 +193,21 @@ def rff_kernel_error(t: Tables) -> DataFrame:
     return svm.kernel_error(d, svm.FourierFeatures(cols, 512, 0.5), "id_")
 
 
+@query()
+def rff_svm_fit(t: Tables) -> DataFrame:
+    """A classifier on Fourier features, and its share of right labels."""
+    d, cols = _emb(t)
+    m = svm.rff_svm(cols, 256, 0.5, lam=0.001, steps=15, average=True).fit(d, "y")
+    return m.transform(d).select("id_", F.round(m.model.score(), 6).alias("score"), m.model.predict().alias("label"))
+
+
+@query()
+def rff_svr_fit(t: Tables) -> DataFrame:
+    d = _lines(t).withColumns({c: F.col(c) / s for c, s in (("quantity", 50.0), ("discount", 0.1), ("tax", 0.08))})
+    m = svm.rff_svr(LINE, 64, 1.0, lam=1e-4, steps=20).fit(d, "log_price")
+    return m.transform(d).agg(F.round(F.sqrt(F.avg(F.pow(F.col("log_price") - m.model.predict(), 2))), 4).alias("rmse"), F.round(F.stddev_pop("log_price"), 4).alias("deviation"))
+
+
 @query()
 def forest_fit(t: Tables) -> DataFrame:
     d, cols = _emb(t)

@@ -192,28 +192,41 @@ def rank_ties(t: Tables) -> DataFrame:
     return metrics.ranks(_scored(t), "score").select(F.round("value", 6).alias("value"), "n", "rank")
 
 
-_POS = f"pos AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM ({SCORED})), draw AS (SELECT b, ('0x' || substr(md5(concat(b, '|', d, '|', 42)), 1, 8))::BIGINT % n AS i FROM range(100) b(b), (SELECT i AS d, n FROM pos))"
-RESAMPLES = 100
+RESAMPLES = 1000
+_H = "('0x' || substr(md5(concat({0}, '|', 42)), 1, 8))::BIGINT"
+_EDGES = ", ".join(repr(e) for e in stats.poisson_edges())
+_DRAWN = f"""k AS (SELECT *, {_H.format('id')} % {stats.PRIME} AS h FROM ({SCORED})), b AS (SELECT b, {_H.format("'a|', b")} % {stats.PRIME - 1} + 1 AS ha, {_H.format("'b|', b")} % {stats.PRIME} AS hb FROM range({RESAMPLES}) r(b)),
+draw AS (SELECT *, len(list_filter([{_EDGES}], lambda e: e <= ((h * ha + hb) % {stats.PRIME}) / {float(stats.PRIME)!r}::DOUBLE)) AS w FROM k, b)"""
 
 
-def _positioned(t: Tables) -> tuple[DataFrame, int]:
-    """Positions 0 to n - 1 of the labelled rows, a table of human labels."""
-    d = _scored(t).withColumn("i", (F.row_number().over(W.orderBy("id")) - 1).cast("bigint"))
-    return d, d.count()
+@query(f"WITH {_DRAWN}, v AS (SELECT b, sum(w * score) / sum(w) AS m FROM draw WHERE w > 0 GROUP BY b) SELECT round((SELECT avg(score) FROM k), 6) AS point, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM v")
+def bootstrap_ci(t: Tables) -> DataFrame:
+    got = stats.bootstrap_ci(_scored(t), "id", F.sum(F.col("weight") * F.col("score")) / F.sum("weight"), RESAMPLES)
+    return got.select(*(F.round(c, 6).alias(c) for c in ("point", "lo", "hi")))
 
 
-@query(f"WITH {_POS}, v AS (SELECT b, avg(score) AS m FROM draw JOIN pos USING (i) GROUP BY b) SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM v")
-def bootstrap_ci(t: Tables) -> DataFrame:
-    d, n = _positioned(t)
-    got = stats.bootstrap_ci(d, "i", n, F.sum(F.col("weight") * F.col("score")) / F.sum("weight"), RESAMPLES)
-    return got.select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+_RMSE = "sqrt(sum(w * pow(y - {0}, 2)) / sum(w))"
 
 
-@query(f"WITH {_POS}, v AS (SELECT b, sqrt(avg(pow(y - score, 2))) - sqrt(avg(pow(y - 0.5, 2))) AS d FROM draw JOIN pos USING (i) GROUP BY b) SELECT round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi, round(least(1.0, 2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT))), 6) AS p, (quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0) AS significant FROM v")
+@query(f"WITH {_DRAWN}, v AS (SELECT b, {_RMSE.format('score')} - {_RMSE.format('0.5')} AS d FROM draw WHERE w > 0 GROUP BY b), o AS (SELECT sqrt(avg(pow(y - score, 2))) AS a, sqrt(avg(pow(y - 0.5, 2))) AS b FROM k) SELECT round(any_value(a), 6) AS a, round(any_value(o.b), 6) AS b, round(any_value(a - o.b), 6) AS diff, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi, round(least(1.0, 2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT))), 6) AS p, (quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0) AS significant FROM v, o")
 def paired_bootstrap(t: Tables) -> DataFrame:
-    d, n = _positioned(t)
-    got = stats.paired_bootstrap(d.withColumn("flat", F.lit(0.5)), "i", n, lambda c: metrics.rmse(F.col("y"), F.col(c), F.col("weight")), "score", "flat", RESAMPLES)
-    return got.select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), F.round("p", 6).alias("p"), "significant")
+    got = stats.paired_bootstrap(_scored(t).withColumn("flat", F.lit(0.5)), "id", lambda c: metrics.rmse(F.col("y"), F.col(c), F.col("weight")), "score", "flat", RESAMPLES)
+    return got.select(*(F.round(c, 6).alias(c) for c in ("a", "b", "diff", "lo", "hi", "p")), "significant")
+
+
+_F1 = "2.0 * sum(w * y * ({0})::INT) / (sum(w * y) + sum(w * ({0})::INT))"
+_PLANNED = [("rmse", "score", "flat"), ("rmse", "half", "flat"), ("f1", "high", "low"), ("rmse", "score", "absent")]
+_PAIRS = {("rmse", "score", "flat"): (_RMSE.format("score"), _RMSE.format("0.5")), ("rmse", "half", "flat"): (_RMSE.format("(score / 2)"), _RMSE.format("0.5")), ("f1", "high", "low"): (_F1.format("score > 0.7"), _F1.format("score > 0.3"))}
+
+
+@query(f"WITH {_DRAWN}, " + " UNION ALL ".join(f"{'v AS (' * (i == 0)}SELECT '{m}' AS metric, '{a}' AS a, '{b}' AS b, b AS r, {x} - {z} AS d FROM draw WHERE w > 0 GROUP BY b" for i, ((m, a, b), (x, z)) in enumerate(_PAIRS.items())).replace("'score' AS a, 'flat' AS b, b AS r", "'score' AS a, 'flat' AS b, draw.b AS r") + "), one AS (SELECT *, 1 AS w FROM k), o AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, '{a}' AS a, '{b}' AS b, {x} AS va, {z} AS vb FROM one" for (m, a, b), (x, z) in _PAIRS.items()) + ") SELECT metric, a, b, round(any_value(va), 6) AS value_a, round(any_value(vb), 6) AS value_b, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi, round(least(1.0, 2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT))), 6) AS p, (quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0) AS significant FROM v JOIN o USING (metric, a, b) GROUP BY metric, a, b")
+def paired_tests(t: Tables) -> DataFrame:
+    """Pairs whose columns are missing are skipped."""
+    w, y = F.col("weight"), F.col("y")
+    f1 = lambda c: 2.0 * F.sum(w * y * F.col(c)) / (F.sum(w * y) + F.sum(w * F.col(c)))
+    d = _scored(t).withColumns({"flat": F.lit(0.5), "half": F.col("score") / 2, "high": (F.col("score") > 0.7).cast("int"), "low": (F.col("score") > 0.3).cast("int")})
+    got = stats.paired_tests(d, "id", _PLANNED, {"rmse": lambda c: metrics.rmse(y, F.col(c), w), "f1": f1}, RESAMPLES)
+    return got.select("metric", "a", "b", *(F.round(c, 6).alias(c) for c in ("value_a", "value_b", "lo", "hi", "p")), "significant")
 
 
 _AT = "l[floor({q} * (n - 1))::BIGINT + 1] + ({q} * (n - 1) - floor({q} * (n - 1))) * (l[least(floor({q} * (n - 1))::BIGINT + 2, n)] - l[floor({q} * (n - 1))::BIGINT + 1])"

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terrane.functions import numbering
 from terrane.operators import clean, encode, explain, linear, metrics, stats, svm, tree
 from terrane.operators.features import make_features
 from terrane.sources import files, synthetic
@@ -78,7 +79,7 @@ def test_metrics(spark):
 
 def test_paired_bootstrap_of_equals(spark):
     d = spark.range(50).select("id", F.col("id").cast("double").alias("y"), (F.col("id") + 1.0).alias("a"))
-    got = stats.paired_bootstrap(d.withColumn("b", F.col("a")), "id", 50, lambda c: metrics.rmse(F.col("y"), F.col(c), F.col("weight")), "a", "b", 50).first()
+    got = stats.paired_bootstrap(d.withColumn("b", F.col("a")), "id", lambda c: metrics.rmse(F.col("y"), F.col(c), F.col("weight")), "a", "b", 50).first()
     assert got["p"] == 1.0 and not got["significant"]
 
 
@@ -177,3 +178,112 @@ def test_files(spark, tmp_path):
         files.load_bundle(spark, str(tmp_path / "m"), "svm")
     with pytest.raises(FileNotFoundError):
         files.find_data_file("nowhere.csv")
+
+
+def test_interval_skips_resamples_without_a_value(spark):
+    d = spark.createDataFrame([(float(i),) for i in range(39)] + [(float("nan"),)] * 5 + [(None,)], "v double")
+    got = stats.interval(d, "v").first()
+    assert got["lo"] == pytest.approx(np.percentile(range(39), 2.5)) and got["hi"] == pytest.approx(np.percentile(range(39), 97.5))
+    assert stats.interval(d.where("isnan(v)"), "v").first()["lo"] is None
+
+
+def test_bootstrap_approaches_the_standard_error(spark):
+    x = np.random.default_rng(3).normal(size=400)
+    d = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id long, x double")
+    got = stats.bootstrap_ci(d, "id", F.sum(F.col("weight") * F.col("x")) / F.sum("weight"), 1000).first()
+    assert got["point"] == pytest.approx(x.mean()) and (got["hi"] - got["lo"]) / 2 == pytest.approx(1.96 * x.std() / 20, rel=0.15)
+
+
+def test_running_sums_against_brute_force(spark):
+    r = np.random.default_rng(5)
+    v = np.unique(np.round(r.normal(size=3000), 3))
+    d = spark.createDataFrame([(float(x), int(n)) for x, n in zip(v, r.integers(0, 9, len(v)), strict=True)], "v double, n long")
+    for descending in (False, True):
+        rows = sorted(d.collect(), key=lambda x: x["v"], reverse=descending)
+        want = dict(zip([x["v"] for x in rows], np.cumsum([x["n"] for x in rows]).tolist(), strict=True))
+        assert {x["v"]: x["s"] for x in numbering.running(d, "v", {"s": "n"}, descending).collect()} == want
+    assert numbering.running(d.limit(0), "v", {"s": "n"}).count() == 0
+
+
+def test_permutation_is_of_the_whole_table(spark):
+    """Values change places over all rows, whatever their number, and none is lost."""
+    for n in (1, 7, 25_000):
+        d = spark.range(n).withColumn("x", F.col("id"))
+        got = explain.permuted(d, "id", ["x"], 3)
+        assert got.agg(F.sum("x"), F.count_distinct("x")).first()[:] == (n * (n - 1) // 2, n)
+        if n > 7:
+            assert abs(got.agg(F.corr("id", "x")).first()[0]) < 0.03
+
+
+def test_trees_without_a_depth_bound(spark):
+    """Unbounded growth separates all rows; beyond SMALL nodes the node tables predict what the expression does."""
+    r = np.random.default_rng(2)
+    x = r.permutation(400).reshape(200, 2).astype(float)
+    y = r.integers(0, 2, 200)
+    d = spark.createDataFrame([(i, *map(float, v), int(c)) for i, (v, c) in enumerate(zip(x, y, strict=True))], "id_ long, a double, b double, y int")
+    t = tree.grow(d, ["a", "b"], "y", max_depth=None)[0]
+    assert d.where(t.predict() != F.col("y")).count() == 0
+    small = d.select("id_", t.predict().alias("p"), t.node_id(3).alias("n"), t.probability(depth=2).alias("q")).orderBy("id_").collect()
+    effects = t.path_effects(["a", "b"])
+    total = d.select((effects["a"] + effects["b"] + t.value(t.nodes[0])[1] - t.probability()).alias("gap")).agg(F.max(F.abs("gap"))).first()[0]
+    assert total < 1e-12
+    tree.SMALL, kept = 0, tree.SMALL
+    try:
+        assert d.select("id_", t.predict().alias("p"), t.node_id(3).alias("n"), t.probability(depth=2).alias("q")).orderBy("id_").collect() == small
+        assert tree.grow(d, ["a", "b"], "y", max_depth=None)[0].table() == t.table()
+    finally:
+        tree.SMALL = kept
+    with pytest.raises(ValueError, match="criterion"):
+        tree.grow(d, ["a"], "y", criterion="mse")
+
+
+def test_missing_values_go_right(spark):
+    d = spark.createDataFrame([(0, 1.0, 0), (1, 2.0, 1), (2, None, 1), (3, 1.0, 0)], "id_ int, a double, y int")
+    t = tree.grow(d, ["a"], "y", max_depth=1)[0]
+    want = {0: 0, 1: 1, 2: 1, 3: 0}
+    assert {r["id_"]: r["p"] for r in d.select("id_", t.predict().alias("p")).collect()} == want
+    tree.SMALL, kept = 0, tree.SMALL
+    try:
+        assert {r["id_"]: r["p"] for r in d.select("id_", t.predict().alias("p")).collect()} == want
+    finally:
+        tree.SMALL = kept
+
+
+def test_out_of_bag_share_and_stages(spark):
+    d = synthetic.homes(spark, 800).select(F.col("row_id").alias("id_"), "area", F.col("price").alias("p"))
+    m = tree.forest(d, ["area"], "p", "id_", trees=3, max_features=None, task="regression", max_depth=2)
+    share = d.agg(F.avg(m.out_of_bag().isNull().cast("double"))).first()[0]
+    assert abs(share - (1 - np.exp(-1)) ** 3) < 0.06  # drawn by all three
+    r = d.select(m.staged().alias("s"), m.predict().alias("p"), m.predict(1).alias("p1"), *(c.alias(n) for n, c in zip(("lo", "hi"), m.spread(), strict=True)), m.each().alias("e")).limit(50).collect()
+    assert all(x["s"][-1] == pytest.approx(x["p"]) and x["s"][0] == pytest.approx(x["p1"]) for x in r)
+    assert all(x["lo"] == pytest.approx(np.quantile(x["e"], 0.1)) and x["hi"] == pytest.approx(np.quantile(x["e"], 0.9)) for x in r)
+
+
+def test_compare_tells_kinds_of_nodes(spark):
+    d = spark.createDataFrame([(float(i), float(i) * 2, i // 4) for i in range(8)], "a double, b double, y int")
+    of = lambda f, c: tree.Tree(nodes=[tree.Node(0, 0, 8, [4, 4], 0.5, f, c, 1, 2, 0.5), tree.Node(1, 1, 4, [4, 0], 0.0), tree.Node(2, 1, 4, [0, 4], 0.0)])
+    a = of("a", 3.5)
+    assert tree.compare(a, of("b", 7.0), d)["same_partition"] == 1 and tree.compare(a, of("b", 5.0), d)["tie"] == 1
+    assert tree.compare(a, of("a", 3.5 + 3e-8), d)["float32"] == 1 and tree.compare(a, tree.Tree(nodes=a.nodes[1:2] + a.nodes), d)["decision_mismatch"] == 1
+
+
+def test_labels_of_any_kind(spark):
+    d = spark.createDataFrame([(0.0, "no"), (1.0, "no"), (2.0, "yes"), (3.0, "yes")], "x double, y string")
+    names = tree.Labels.of(d, "y")
+    t = tree.grow(d.withColumn("k", names.number(F.col("y"))), ["x"], "k", classes=len(names.values))[0]
+    assert d.where(names.value(t.predict()) != F.col("y")).count() == 0
+    s = svm.PegasosSVM(["x"], lam=0.01, steps=200, average=True).fit(d, "y")
+    assert s.labels == ("no", "yes") and {r[0] for r in d.select(s.predict()).collect()} <= {"no", "yes"} and len(s.history) == 200
+
+
+def test_fourier_models(spark):
+    """On a ring, Fourier features separate what a line can't; on a wave, they follow it."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(400, 2))
+    d = spark.createDataFrame([(float(a), float(b), int(a * a + b * b > 1.4), float(np.sin(2 * a))) for a, b in x], "a double, b double, y int, v double").cache()
+    right = lambda m, e: e.agg(F.avg((m.predict() == F.col("y")).cast("double"))).first()[0]
+    flat = svm.PegasosSVM(["a", "b"], lam=0.01, steps=40, average=True).fit(d, "y")
+    ring = svm.rff_svm(["a", "b"], 128, 0.5, lam=0.001, steps=60, average=True).fit(d, "y")
+    assert right(ring.model, ring.transform(d)) > max(0.9, right(flat, d) + 0.1)
+    wave = svm.rff_svr(["a"], 64, 1.0, lam=1e-4, steps=150, epsilon=0.05).fit(d, "v")
+    assert wave.transform(d).agg(F.avg(F.abs(wave.model.predict() - F.col("v")))).first()[0] < 0.25

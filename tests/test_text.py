@@ -25,7 +25,7 @@ def test_land(spark, raw, want):
     assert one(spark, text.parse_land, raw) == want
 
 
-@pytest.mark.parametrize(("raw", "want"), [("var", 1.0), ("Çıxarış var", 1.0), ("Təmirli", 1.0), ("yoxdur", 0.0), ("Təmirsiz", 0.0), ("Nəsimili", None), ("", None), (None, None), ("İpotekalı", None)])
+@pytest.mark.parametrize(("raw", "want"), [("var", 1.0), ("Çıxarış var", 1.0), ("Təmirli", 1.0), ("yoxdur", 0.0), ("Təmirsiz", 0.0), ("Nəsimili", None), ("", None), (None, None), ("İpotekalı", 1.0)])
 def test_yes_no(spark, raw, want):
     assert one(spark, text.parse_yes_no, raw) == want
 
@@ -57,3 +57,8 @@ def test_labels_and_bands(spark):
     assert one(spark, text.base_feature, "district=x") == "district" and one(spark, text.base_feature, "rooms_missing") == "rooms"
     assert [one(spark, numeric.band, v, "double") for v in (50_000.0, 75_000.0, 1e6)] == ["<75k", "75k–125k", "600k+"]
     assert [one(spark, numeric.to_hundreds, v, "double") for v in (1250.0, 1350.0)] == [1200.0, 1400.0]
+
+
+@pytest.mark.parametrize(("raw", "want"), [("{'a': \"it's\", 'b': True}", {"a": "it's", "b": "true"}), ("{'a': 'x \"q\" y', 'n': None}", {"a": 'x "q" y', "n": None}), ("[{'key': 'k', 'value': 'Truely True'}]", {"k": "Truely True"}), ("{'broken'", None)])
+def test_quoted_literals(spark, raw, want):
+    assert one(spark, text.parse_attributes, raw) == want
