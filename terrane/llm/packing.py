@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from terrane.llm.common import saved, small_batches, whole
 from terrane.llm.numbering import HASH_BITS, numbered
-from terrane.llm.transduce import MEMORY, NONE, STEPS, Machine, portions
+from terrane.llm.transduce import CELL, MEMORY, NONE, STEPS, Machine, portions
 
 CAPACITY, END = 2048, b"\0\0\0\0"
 FINAL, UNKNOWN = 256, 1 << 20
-#: Slow chunks whose ids a worker remembers.
-REMEMBERED = 100_000
+#: Bytes of slow chunks and their ids that a worker remembers, and of the longest such chunk (an entry counts ENTRY bytes more).
+REMEMBERED, LONGEST, ENTRY = 1 << 24, 256, 160
 _encoders: dict[str, Words] = {}
 BLANK, LETTER, DIGIT, OTHER, UNSURE = range(5)
 
@@ -48,6 +48,8 @@ class Words(Machine):
     transition table together; going back from each end by the lengths of last tokens gives the ids. Any other chunk
     (other scripts, quotes, angle brackets, controls) is encoded by the library and remembered."""
 
+    most = MEMORY
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -68,6 +70,7 @@ class Words(Machine):
         self.rules = {(symbols(a), symbols(b)): -k for k, (a, b) in enumerate(m.split(" ") if isinstance(m, str) else m for m in model["merges"])}
         super().__init__(dict.fromkeys(self.ids, 0.0))
         self.memory: dict[bytes, bytes] = {}
+        self.held = 0
         self.columns = np.full(2 * FINAL, UNKNOWN, dtype=np.int32)
         self.kind = np.full(256, UNSURE, dtype=np.uint8)
         self.kind[33:127] = OTHER
@@ -79,10 +82,18 @@ class Words(Machine):
     def rank(self, a: str, b: str) -> float:
         return self.rules.get((a, b), NONE)
 
+    def weight(self, token: str) -> int:
+        """Ids need no counts: states that differ in them alone are one."""
+        return 0
+
     def _reset(self) -> None:
         super()._reset()
         self.last_id, self.last_size = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
 
+    def _trim(self) -> None:
+        super()._trim()
+        self.last_id, self.last_size = self.last_id[: len(self.made)], self.last_size[: len(self.made)]
+
     def _tokens(self) -> None:
         """The last token of each state."""
         new = [self.made[k][1][-1] for k in range(len(self.last_id), len(self.made))]
@@ -92,8 +103,8 @@ class Words(Machine):
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers, the end token last."""
-        if len(self.made) >= MEMORY:
-            self._reset()
+        if len(self.made) >= self.most:
+            self._trim()
         raws = [(t or "").encode() for t in texts]
         line = b"\n".join(raws) + b"\n"
         b = np.frombuffer(line, dtype=np.uint8).copy()
@@ -149,7 +160,7 @@ class Words(Machine):
             m = int(alive[k])
             if not m:
                 break
-            state[:m] = self._known(state[:m] * self.width + column[at[:m] + k])
+            state[:m] = self._known(state[:m] * self.width + column[at[:m] + k]) // CELL - 1
             track[at[:m] + k] = state[:m]
         self._tokens()
         # from each word's end backwards
@@ -178,13 +189,20 @@ class Words(Machine):
 
     def _remembered(self, line: bytes, start: np.ndarray, size: np.ndarray, slow: np.ndarray) -> list[tuple[int, bytes]]:
         memory = self.memory
-        chunks = [line[a : a + n] for a, n in zip(start[slow].tolist(), size[slow].tolist(), strict=True)]
-        if len(memory) > REMEMBERED:
+        if self.held > REMEMBERED:
             memory.clear()
+            self.held = 0
+        chunks = [line[a : a + n] for a, n in zip(start[slow].tolist(), size[slow].tolist(), strict=True)]
         new = list({c for c in chunks if c not in memory})
         for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
             memory[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return [(k, memory[c]) for k, c in zip(slow.tolist(), chunks, strict=True)]
+        out = [(k, memory[c]) for k, c in zip(slow.tolist(), chunks, strict=True)]
+        for c in new:
+            if len(c) > LONGEST:
+                del memory[c]
+            else:
+                self.held += len(c) + len(memory[c]) + ENTRY
+        return out
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:

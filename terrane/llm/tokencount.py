@@ -4,9 +4,12 @@ The transducer is that of `transduce`; its transitions carry the change in the c
 
 A character that no longer piece contains, and a word start, are borders: the transducer is in its first state again. The map
 from entry state to exit state of a chunk with a border is constant after it, so chunk maps compose associatively:
-(open head, count, open tail). Long texts are cut into chunks whose maps are composed pairwise, as in a prefix scan.
+(open head, count, open tail). Long texts are cut into chunks whose maps are composed pairwise, as in a prefix scan's up-sweep.
+What stays sequential: a map keeps the open ends as text, which are run again once their neighbour is known; a stretch without
+a border (no space, no character outside pieces) is run from its start, symbol by symbol; and the chunks of one text are
+composed by one worker. Texts run in parallel, and so do all new segments of a batch, in lockstep through the table.
 
-Nulls are empty; an empty text has no tokens."""
+Nulls are empty; an empty text has no tokens. Repeated rows are counted each; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from terrane.llm.common import small_batches, whole
 from terrane.llm.packing import tokenizer_path
-from terrane.llm.transduce import MEMORY, STEPS, Machine, portions
+from terrane.llm.transduce import CELL, MEMORY, STEPS, Machine, portions
 
 SPACE = "▁"
 CHUNK = 1 << 16
@@ -40,6 +43,8 @@ class ChunkMap:
 
 
 class Transducer(Machine):
+    most = 3 * MEMORY // 2
+
     def __init__(self, path: str) -> None:
         import sentencepiece
 
@@ -67,22 +72,20 @@ class Transducer(Machine):
         """Tokens between two borders."""
         got = self.counts.get(segment)
         if got is None:
-            if len(self.counts) >= MEMORY:
-                self.counts.clear()
             state, got = 0, 0
             for c in segment:
                 state, change = self.remembered(state, c)
                 got += change
-                if len(self.made) >= 2 * MEMORY:
+                if len(self.made) >= 2 * self.most:
                     state = self._restart(state)
             if len(segment) <= STEPS:
                 self.counts[segment] = got
         return got
 
     def _restart(self, state: int) -> int:
-        """Forgets all states but the one that is open."""
+        """Cuts the table back but for the state that is open."""
         here = self.made[state]
-        self._reset()
+        self._trim()
         return self._state(here)
 
     def total(self, text: str) -> int:
@@ -94,6 +97,8 @@ class Transducer(Machine):
             return sum(map(self.count_segment, segments))
 
     def chunk_map(self, text: str) -> ChunkMap:
+        if len(self.counts) >= MEMORY:
+            self.counts.clear()
         segments = self.segment.findall(text)
         if len(segments) < 2:
             return ChunkMap(text)
@@ -122,16 +127,23 @@ class Transducer(Machine):
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         return self.total(maps[0].head) + (0 if maps[0].count is None else maps[0].count + self.total(maps[0].tail))
 
-
     def count_all(self, texts: list[str | None], chunk: int = CHUNK) -> list[int]:
-        """Tokens of each text. All segments of the batch run through the transition table in lockstep, longest first."""
-        if len(self.made) >= MEMORY:
-            self._reset()
-        out = np.array([self.count(t) if t and len(t) > chunk else 0 for t in texts], dtype=np.int64)
+        """Tokens of each text. All segments of the texts run through the transition table in lockstep, longest first."""
+        if len(self.made) >= self.most:
+            self._trim()
+        if len(self.counts) >= MEMORY:
+            self.counts.clear()
+        out = np.zeros(len(texts), dtype=np.int64)
         short = [i for i, t in enumerate(texts) if t and len(t) <= chunk]
-        if not short:
-            return out.tolist()
-        lines = [SPACE + texts[i].replace(" ", SPACE) for i in short]
+        if short:
+            out[short] = self.lockstep([SPACE + texts[i].replace(" ", SPACE) for i in short])
+        for i, t in enumerate(texts):
+            if t and len(t) > chunk:
+                out[i] = self.count(t, chunk)
+        return out.tolist()
+
+    def lockstep(self, lines: list[str]) -> np.ndarray:
+        """Tokens of each line, not empty, between borders."""
         line = "".join(lines)
         codes = np.frombuffer(line.encode("utf-32-le"), dtype=np.uint32)
         plane = np.minimum(codes, 0xFFFF)
@@ -174,11 +186,11 @@ class Transducer(Machine):
             if not m:
                 break
             flat = state[:m] * self.width + columns[at[:m] + k]
-            state[:m] = self._known(flat)
-            tokens[:m] += self.change[flat]
+            cells = self._known(flat)
+            state[:m] = cells // CELL - 1
+            tokens[:m] += cells % CELL - CELL // 2
         count[run] = tokens
-        out[short] = np.add.reduceat(count, np.searchsorted(start, first))
-        return out.tolist()
+        return np.add.reduceat(count, np.searchsorted(start, first))
 
 
 _machines: dict[str, Transducer] = {}

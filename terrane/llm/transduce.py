@@ -15,12 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 
 NONE = float("-inf")
-#: States that a table keeps from one batch to the next; columns of the table; symbols of a word that go through it.
-MEMORY, STEPS = 120_000, 64
+#: States at which a table is cut back to the first two thirds, which frequent words have made as a rule; every RENEWED-th time it
+#: starts anew, as texts change. Symbols of a word that go through it.
+MEMORY, RENEWED, STEPS = 120_000, 64, 64
 #: Bytes of text that go through the table together, a longer text by itself.
 PORTION = 1 << 19
-#: States that the table grows by.
-GROWTH = 8192
+#: A cell of the table: the next state plus one, times CELL, plus the change and half of CELL; 0 where none is known yet.
+CELL = 256
 
 
 def portions(texts: list[str | None], limit: int = PORTION) -> Iterator[list[str | None]]:
@@ -40,16 +41,18 @@ def portions(texts: list[str | None], limit: int = PORTION) -> Iterator[list[str
 class Machine:
     """score: the pieces. rank: how early two neighbours merge (the highest first), NONE if never."""
 
-    width = 128
+    width, most = 128, MEMORY
 
     def __init__(self, score: dict[str, float]) -> None:
         self.score = score
-        self.starts = {p[:k] for p in score for k in range(len(p))}
+        self.starts = {p[:k]: p[:k] for p in score for k in range(len(p))}
+        self.token = {p: p for p in score}  # states share their strings
         self.pairs: dict[tuple[str, str], bool] = {}
         self.states: dict[tuple, int] = {}
         self.made: list[tuple[str, tuple[str, ...], tuple[int, ...]]] = []
         self.moves: dict[tuple[int, str], tuple[int, int]] = {}
         self.letters: list[str] = []
+        self.trims = 0
         self._reset()
 
     def rank(self, a: str, b: str) -> float:
@@ -64,10 +67,30 @@ class Machine:
         self.pairs.clear()
         self.made.clear()
         self.moves.clear()
-        self.next = np.full(1024 * self.width, -1, dtype=np.int32)
-        self.change = np.zeros(1024 * self.width, dtype=np.int8)
+        self.cells = np.zeros(self.room(), dtype=np.int32)
         self._state(("", ("",), (0,)))
 
+    def room(self) -> int:
+        """Cells of the table: a batch may go over `most` states by a quarter; memory is taken as rows are filled."""
+        return (self.most + self.most // 4) * self.width
+
+    def _trim(self) -> None:
+        """Forgets the last third of the states, and what leads to them."""
+        self.trims += 1
+        kept = self.most * 2 // 3
+        if self.trims % RENEWED == 0:
+            return self._reset()
+        for s in self.made[kept:]:
+            del self.states[s]
+        del self.made[kept:]
+        self.moves.clear()
+        if len(self.pairs) > 2 * self.most:
+            self.pairs.clear()
+        self.cells = np.append(self.cells[: kept * self.width], np.zeros(self.room() - kept * self.width, dtype=np.int32))
+        for a in range(0, kept * self.width, 1 << 20):
+            part = self.cells[a : a + (1 << 20)]
+            part[part >= (kept + 1) * CELL] = 0
+
     def _state(self, s: tuple[str, tuple[str, ...], tuple[int, ...]]) -> int:
         k = self.states.get(s)
         if k is None:
@@ -103,6 +126,7 @@ class Machine:
             token = text[-n:]
             if n > 1 and token not in self.score:
                 continue
+            token = self.token.get(token, token)
             before = last[-n]
             if self.stable(before, token) if before else n == 1 or self.merged(token) == [token]:
                 change = ago[-n] + self.weight(token)
@@ -111,7 +135,7 @@ class Machine:
             raise AssertionError(f"no token ends here: {text!r}")
         k = next(k for k in range(len(text) + 1) if text[k:] in self.starts)  # the longest suffix that a piece starts with
         keep = len(text) - k
-        new = (text[k:], (*last[len(last) - keep :], token), (*(a - change for a in ago[len(ago) - keep :]), 0))
+        new = (self.starts[text[k:]], (*last[len(last) - keep :], token), (*(a - change for a in ago[len(ago) - keep :]), 0))
         return self._state(new), change
 
     def remembered(self, state: int, char: str) -> tuple[int, int]:
@@ -122,15 +146,14 @@ class Machine:
         return got
 
     def _known(self, flat: np.ndarray) -> np.ndarray:
-        """Next states; transitions that are new are made first."""
-        out = self.next[flat]
-        new = np.unique(flat[out < 0])
+        """Cells of the transitions; those that are new are made first."""
+        out = self.cells[flat]
+        new = np.unique(flat[out == 0])
         if len(new):
             for key in new.tolist():
                 state, change = self.move(key // self.width, self.letters[key % self.width])
-                if len(self.made) * self.width > len(self.next):
-                    grown = np.full(GROWTH * self.width, -1, dtype=np.int32)
-                    self.next, self.change = np.append(self.next, grown), np.append(self.change, np.zeros(len(grown), dtype=np.int8))
-                self.next[key], self.change[key] = state, change
-            out = self.next[flat]
+                if len(self.made) * self.width > len(self.cells):
+                    self.cells = np.append(self.cells, np.zeros(self.room() // 4, dtype=np.int32))
+                self.cells[key] = (state + 1) * CELL + change + CELL // 2
+            out = self.cells[flat]
         return out
