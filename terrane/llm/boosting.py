@@ -75,9 +75,35 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: flo
     return Boosted(base, tuple(out))
 
 
-def calibrated(margin: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The lowest threshold on held-out margins from which precision is reached at every stricter one."""
+def calibrated(margin: np.ndarray, y: np.ndarray, precision: float, floor: float = float("-inf")) -> float:
+    """The lowest threshold, of the held-out margins that are `floor` or more, at which what passes has the precision; infinite if
+    there is none. Equal margins pass together."""
     order = np.argsort(-margin, kind="stable")
-    good = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    ok = np.flatnonzero(good >= precision)
-    return float(margin[order][ok[-1]]) if len(ok) else float("inf")
+    m, good = margin[order], np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+    last = np.append(m[1:] != m[:-1], True) if len(m) else np.zeros(0, dtype=bool)
+    ok = np.flatnonzero(last & (good >= precision) & (m >= floor))
+    return float(m[ok[-1]]) if len(ok) else float("inf")
+
+
+def platt(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """(a, b): 1 / (1 + exp(-(a margin + b))) is the chance of y on held-out margins (Platt, 1999, with his smoothed targets)."""
+    n1, n0 = float(y.sum()), float(len(y) - y.sum())
+    target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    w = np.array([1.0, 0.0])
+    x = np.stack([margin, np.ones(len(margin))], axis=1)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (target - p) - 1e-6 * w)
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(w[0]), float(w[1])
+
+
+def auc(margin: np.ndarray, y: np.ndarray) -> float:
+    """Area under the ROC curve; ties count half."""
+    _, at, n = np.unique(margin, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[at]
+    n1 = y.sum()
+    return float((rank[y > 0].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1))) if 0 < n1 < len(y) else float("nan")

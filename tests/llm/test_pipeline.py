@@ -1,11 +1,9 @@
 """The pipeline against brute force, stage by stage, and on rows that are hard to handle."""
 
-import re
-
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terrane.llm import decontam, quality, secret_scan, simhash
+from terrane.llm import quality, simhash
 from tests.llm.test_ops import HARD, _components, base_secrets, scan, windows
 
 
@@ -39,4 +37,3 @@ def test_hard_rows(spark, small):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, d, small).count() >= 0, name
         assert stage(spark, d.limit(0), small).count() == 0, name
-    assert secret_scan.BASE and decontam.WINDOW and re
