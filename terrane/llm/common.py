@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: texts are long, so a batch is kept small for the Python worker's memory.
-ARROW_ROWS = 512
+ARROW_ROWS, ARROW_BYTES = 512, 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,7 +90,9 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str, total: int) -> Data
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by rows and bytes, for this session from now on: plans run later than they are made."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def whole(text: Column) -> Column:

@@ -4,9 +4,13 @@ Shingles are five words. For each template size, rounded up to a power of two, w
 every half window; a notice anywhere lies in one of them up to a quarter. A window that holds a whole notice then has a
 Jaccard similarity of 0.5 or more with it, one with 0.8 of its shingles 0.35 or more; with BANDS bands of one row each the chance that
 no band agrees is at most 0.65 ** 48 < 2e-9. Windows of one shingle have one value: equality. A retrieved
-template is verified by the exact share of its shingles in the window and a window's length around it: CONTAINED or more.
+template is verified by the exact share of its shingles that the document has, anywhere: CONTAINED or more. So a notice with a
+passage put into its middle is found as long as one window holds a third of it or more. Shingles are compared as 64-bit values;
+two that differ agree by chance once in 2 ** 64 pairs.
 
-Nulls and texts without words: no licenses. Documents of fewer than five words have one shingle, all their words."""
+TEMPLATES are short notices; `report` takes others, of any number and length, as a table. They go to every worker, TEMPLATE_WORDS
+words at most. Nulls and texts without words: no licenses. Documents of fewer than five words have one shingle, all their
+words. Repeated rows are scanned each; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -21,8 +25,13 @@ from pyspark.sql import functions as F
 
 from terrane.llm.common import small_batches, whole
 from terrane.llm.decontam import FOLD, words
+from terrane.llm.transduce import portions
 
 SHINGLE, CONTAINED, BANDS = 5, 0.8, 48
+#: Words of all templates together; a table with more is refused.
+TEMPLATE_WORDS = 2_000_000
+#: Bytes of text that are scanned as one run; a longer text by itself.
+PORTION = 1 << 22
 ABSENT = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 #: Notices as their licenses give them.
@@ -146,8 +155,8 @@ class Library:
 
         for size, at, name in self.candidates(s, valid):
             for d in range(int(doc[at]), int(doc[min(at + size, n) - 1]) + 1):
-                low, high = max(int(first[d]), at - size), min(int(first[d + 1]) - SHINGLE + 1, at + 2 * size)
-                if low < high:
+                low, high = int(first[d]), int(first[d + 1]) - SHINGLE + 1
+                if low < high and name not in out[d]:
                     verify(d, name, s[low:high])
         for d in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < SHINGLE)).tolist():  # all of a short text is one shingle
             one = _combined(h[first[d] : first[d + 1]], 1)
@@ -164,14 +173,26 @@ def library() -> Library:
     return Library(TEMPLATES)
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_licenses, licenses (names, sorted, comma-joined), containment (the least of those found; null without)."""
+def templates_of(table: DataFrame) -> dict[str, str]:
+    """name, text of a table of templates; rows without either are left out."""
+    rows = table.where("name is not null and text is not null").select("name", "text")
+    size = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    if size > TEMPLATE_WORDS:
+        raise ValueError(f"{size} words of templates; {TEMPLATE_WORDS} at most")
+    return {r["name"]: r["text"] for r in rows.collect()}  # TEMPLATE_WORDS words at most
+
+
+def report(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_licenses, licenses (names, sorted, comma-joined), containment (the least of those found; null without).
+    templates: (name, text) in place of TEMPLATES."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    own = Library(templates_of(templates)) if templates is not None else None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lib = own or library()
         for b in batches:
-            found = library().scan_all(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([",".join(sorted(f)) for f in found]), pa.array([min(f.values()) if f else None for f in found], pa.float64())], ["doc_id", "n_licenses", "licenses", "containment"])
+            found = [f for part in portions(b.column(1).to_pylist(), PORTION) for f in lib.scan_all(part)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([",".join(sorted(f)) for f in found], pa.string()), pa.array([min(f.values()) if f else None for f in found], pa.float64())], ["doc_id", "n_licenses", "licenses", "containment"])
 
     return docs.select("doc_id", whole(F.col("text")).alias("text")).mapInArrow(scan, f"doc_id {kind}, n_licenses long, licenses string, containment double")

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.functions.numbering import HASH_BITS, numbered
 from terrane.llm.common import saved, small_batches, whole
-from terrane.llm.numbering import HASH_BITS, numbered
 from terrane.llm.transduce import CELL, MEMORY, NONE, STEPS, Machine, portions
 
 CAPACITY, END = 2048, b"\0\0\0\0"
@@ -305,7 +305,8 @@ def packed(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = saved(rows)
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length
     runs = plan(counts, capacity)
-    hashed = F.xxhash64("doc_id", "piece").bitwiseAND(F.lit((1 << HASH_BITS) - 1))
+    # pieces of one id are dealt apart by their number in the saved table, which doesn't change when it is read again
+    hashed = F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
     ranked = numbered(rows.withColumn("hash_", hashed), "length", "hash_", ["doc_id", "piece", "ids_crc32"], sum(counts.values()), "number_")
     keys, kind = (runs[:, 0] << 44) + runs[:, 1], rows.schema["doc_id"].dataType.simpleString()
 

@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.functions.numbering import HASH_BITS, hash60, numbered
 from terrane.llm.common import saved
-from terrane.llm.numbering import hash60, numbered
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -48,7 +48,9 @@ def assigned(docs: DataFrame, shards: int = 16) -> DataFrame:
     rows = rows.select("doc_id", (F.col("bytes_") + 1).alias("size"), "text_crc32", hash60(F.col("doc_id")).alias("key_"))
     rows = rows.withColumn("shard", shard_of(F.col("key_"), shards)).withColumn("grown_shard", shard_of(F.col("key_"), shards + 1))
     rows = saved(rows)
-    out = numbered(rows, "shard", "key_", ["doc_id", "text_crc32", "size"], rows.count(), "slot")
+    # rows of one id are dealt apart by their number in the saved table, which doesn't change when it is read again
+    spread = F.xxhash64("doc_id", F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
+    out = numbered(rows.withColumn("spread_", spread), "shard", "spread_", ["doc_id", "text_crc32", "size"], rows.count(), "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 

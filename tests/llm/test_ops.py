@@ -303,6 +303,34 @@ def test_license_retrieval_matches_exact_search(docs):
         assert exact == {n for n in lib.scan(t) if len(lib.sets[n]) <= 8}
 
 
+def test_large_licenses_are_retrieved(spark):
+    """Templates of up to 700 words with changed words, cut-off ends and a passage put in, against comparing all with all."""
+    r = np.random.default_rng(11)
+    word = lambda: "".join(r.choice(list("abcdefghij"), 6))
+    templates = {f"t{i}": " ".join(word() for _ in range(n)) for i, n in enumerate((12, 40, 90, 170, 300, 700))}
+    lib = licenses.Library(templates)
+    texts = []
+    for _ in range(40):
+        for t in templates.values():
+            w = t.split()
+            for _ in range(int(r.integers(0, 4))):
+                w[int(r.integers(len(w)))] = word()
+            w = w[int(r.integers(0, len(w) // 6)) :]
+            if r.random() < 0.5:
+                at = int(r.integers(1, len(w)))
+                w[at:at] = [word() for _ in range(int(r.integers(1, 400)))]
+            texts.append(" ".join([*(word() for _ in range(int(r.integers(0, 60)))), *w, word()]))
+    got = [set(f) for f in lib.scan_all(texts)]
+    want = []
+    for t in texts:
+        s = licenses.shingles(licenses.words(t))
+        want.append({n for n, x in lib.sets.items() if np.isin(x, s).mean() >= licenses.CONTAINED})
+    assert sum(map(len, want)) > 80 and got == want
+    table = spark.createDataFrame(list(templates.items()), "name string, text string")
+    rows = licenses.report(spark.createDataFrame(list(enumerate(texts[:30])), "doc_id long, text string"), table).collect()
+    assert {r["doc_id"]: r["licenses"] for r in rows} == {i: ",".join(sorted(x)) for i, x in enumerate(want[:30])}
+
+
 def brute_components(fps, radius=4):
     root = dict(zip(fps, fps, strict=True))
 
@@ -501,3 +529,69 @@ def test_queries_keep_every_row(spark, small, name):
     table = "pages" if name.startswith("op2") else "documents"
     n = spark.read.parquet(f"{small}/{table}.parquet").count()
     assert d.count() >= n if name.startswith("op8") else d.count() == n
+
+
+def test_transition_tables_are_cut_back(docs):
+    """Tables that overflow all the time give what the libraries give."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = [t for t in docs.values() if len(t) < 3000][:60]
+    words, pieces = packing.tokenizer_path("word_bpe_49k.json"), packing.tokenizer_path("piece_bpe_32k.model")
+    t, sp = Tokenizer.from_file(words), sentencepiece.SentencePieceProcessor(model_file=pieces)
+    w, c = packing.Words(words), tokencount.Transducer(pieces)
+    for m in (w, c):
+        m.most = 300
+        m._reset()
+    for x in texts:
+        assert w.encode([x]) == [np.array([*t.encode(x, add_special_tokens=False).ids, 0], dtype="<u4").tobytes()]
+        assert c.count_all([x]) == [len(sp.encode(x))]
+    assert w.trims > 3 and c.trims > 3
+
+
+def scalar_jump(key, shards):
+    b, j = -1, 0
+    while j < shards:
+        b, key = j, (key * 2862933555777941757 + 1) % (1 << 64)
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_shards_follow_the_scalar_hash(spark, small):
+    rows = sharding.assigned(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"))
+    for r in rows.collect():
+        key = int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:15], 16)
+        assert (r["shard"], r["grown_shard"]) == (scalar_jump(key, 16), scalar_jump(key, 17))
+    same = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x").alias("text"))
+    got = sharding.assigned(same)
+    assert sorted(r["slot"] for r in got.collect()) == list(range(3000))
+
+
+def test_empty_tables(spark, tmp_path):
+    """Every query of documents and pages gives an empty result for an empty table."""
+    docs = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, kind in (("documents", docs), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string"), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == 0, name
+
+
+def test_decontamination_in_many_blocks(spark, small):
+    """Small blocks and cut items give what one automaton gives; a block's tables stay in proportion to its words."""
+    docs, bench = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
+    bench = bench.unionByName(bench.limit(5))  # repeated items
+    one = docs.select("doc_id", decontam.scanned(F.col("text"), decontam.built(bench)).alias("f")).orderBy("doc_id").collect()
+    many = docs.select("doc_id", decontam.scanned(F.col("text"), decontam.built(bench, block_words=60)).alias("f")).orderBy("doc_id").collect()
+    assert one == many
+    short = [(i, [b"w%d" % i]) for i in range(3000)]
+    long_ = [(9000 + i, [b"w%d" % (i * 7 % 3000 + k) for k in range(40)]) for i in range(300)]
+    assert decontam.Automaton(short + long_).size() < 40 * (3000 + 300 * 40)
+
+
+def test_star_of_many_near_copies(spark):
+    """A hub with thousands of links and one fingerprint with thousands of rows."""
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1500, F.lit(5)).otherwise(F.col("id") * 1_000_003).cast("long").alias("fp"))
+    of = {r["fp"]: r for r in simhash.classes(rows).collect()}
+    assert of[5]["n_"] == 1500 and of[5]["component_id"] == 0
+    edges = spark.range(1, 2500).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    assert {r["root"] for r in simhash.components(edges).collect()} == {0}
