@@ -64,15 +64,6 @@ VAL_SIZE, TEST_SIZE, STRATA, FOLDS, SEED = 0.15, 0.15, 10, 5, 42
 PRICE_BANDS = [75_000.0, 125_000.0, 200_000.0, 350_000.0, 600_000.0]
 MAX_DISTRICTS, MIN_DISTRICT_ROWS = 12, 30
 RIDGE_ALPHAS = [1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0, 1000.0]
-# Serving: labels of categories, kinds of locations, factors that features stand for.
+# Serving: labels of categories, kinds of locations.
 CATEGORY_LABELS = {"yeni tikili": "New building", "kohne tikili": "Old building", "heyet evi/bag evi": "House / villa"}
 LOCATION_KINDS = {"m.": "metro", "q.": "settlement", "r.": "district"}
-FACTORS = {
-    "area_m2": "Area", "log_area": "Area", "rooms": "Rooms", "area_per_room": "Area per room",
-    "floor": "Floor", "total_floors": "Building height", "floor_ratio": "Floor", "is_top_floor": "Floor", "is_first_floor": "Floor",
-    "land_area_sot": "Land", "has_land": "Land", "lat": "Exact position", "lng": "Exact position",
-    "dist_center_km": "Distance to the centre", "desc_log_len": "Listing text length",
-    "repair": "Renovation", "mortgage": "Mortgage", "bill_of_sale": "Kupça",
-    "category": "Property type", "building_type": "Building type", "city": "City",
-    "district": "District", "location": "Neighbourhood", "tags": "Metro / landmarks nearby",
-}

@@ -32,16 +32,16 @@ def listings(spark: SparkSession, n: int) -> DataFrame:
     out = {
         "price": F.when(_u(4) < 0.005, F.lit(None)).when(_u(4) < 0.01, "1").otherwise(grouped),
         "currency": F.when(_u(5) < 0.08, "USD").otherwise("AZN"),
-        "unit_price": F.lit("1 300 AZN/m²"),
+        "unit_price": F.lit("2 150 AZN/m²"),
         "estate_rel_url_x": F.concat(F.lit("/items/"), F.col("id").cast("string")),
-        "datetime_scrape_x": F.when(F.col("rep") == 1, "2024-11-01 10:00:00").otherwise("2024-10-05 10:00:00"),
+        "datetime_scrape_x": F.when(F.col("rep") == 1, "2023-06-18 07:45:00").otherwise("2023-05-02 19:20:00"),
         "location": _pick(6, ["Nəsimi r.", "Yasamal r.", "28 May m.", "Xırdalan ş."]),
         "extra_info": _pick(7, ["28 May m.* Nəsimi r.", "Elmlər m.* Yasamal r.", None]),
         "city": _pick(8, ["Bakı", "Bakı", "Bakı", "Xırdalan"]),
         "Kateqoriya": _pick(10, ["Yeni tikili", "Köhnə tikili", "Həyət evi / Bağ evi", "Torpaq"]),
-        "Sahə": F.when(_u(11) < 0.005, "8500 m²").otherwise(F.concat(area.cast("string"), F.lit(" m²"))),
+        "Sahə": F.when(_u(11) < 0.005, "7 900 m²").otherwise(F.concat(area.cast("string"), F.lit(" m²"))),
         "Otaq sayı": F.when(_u(12) < 0.04, F.lit(None)).otherwise((1 + F.floor(area / 45)).cast("string")),
-        "Mərtəbə": F.when(_u(13) < 0.005, "12 / 5").otherwise(F.concat((1 + F.floor(_u(14) * 9)).cast("string"), F.lit(" / 9"))),
+        "Mərtəbə": F.when(_u(13) < 0.005, "17 / 6").otherwise(F.concat((1 + F.floor(_u(14) * 9)).cast("string"), F.lit(" / 9"))),
         "Təmir": _pick(15, ["var", "yoxdur", None]),
         "lat": F.when(_u(16) < 0.03, F.lit(None)).otherwise(F.round(40.3 + _u(17) * 0.2, 5).cast("string")),
         "lng": F.when(_u(16) < 0.03, F.lit(None)).otherwise(F.round(49.7 + _u(18) * 0.4, 5).cast("string")),
