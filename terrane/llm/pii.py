@@ -34,15 +34,16 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Proposals by kind. They may overlap each other and the base spans.
+#: Proposals: kind, a literal that every match holds (texts without it aren't searched), pattern. They may overlap each other and the
+#: base spans.
 GENERATORS = (
-    ("email", _LOCAL + r"(?:\x20at\x20|\x20?(?:\(at\)|\[at\]|\{at\})\x20?)[A-Za-z0-9-]++(?:(?:\x20dot\x20|\x20?(?:\(dot\)|\[dot\]|\{dot\})\x20?|\.)[A-Za-z0-9-]++)++"),
-    ("ip", r"(?<![0-9])[0-9]{1,3}+(?:\[\.\][0-9]{1,3}+){3}(?![0-9])"),
-    ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
-    ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}+:){1,6}(?::[0-9A-Fa-f]{1,4}+){1,6}(?![0-9A-Za-z:])"),
-    ("card", r"(?<![0-9])[0-9]{4}(?:[.\x20_/]{1,2}[0-9]{4}){3}(?![0-9])"),
-    ("card", r"(?<![0-9])[0-9]{4}[.\x20_/-]{1,2}[0-9]{6}[.\x20_/-]{1,2}[0-9]{5}(?![0-9])"),
-    ("phone", r"(?<![0-9A-Za-z+])(?:\([0-9]{2,4}\)|0[0-9]{1,3}|[0-9]{3})[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]{3,5}(?![0-9])"),
+    ("email", "", _LOCAL + r"(?:\x20at\x20|\x20?(?:\(at\)|\[at\]|\{at\})\x20?)[A-Za-z0-9-]++(?:(?:\x20dot\x20|\x20?(?:\(dot\)|\[dot\]|\{dot\})\x20?|\.)[A-Za-z0-9-]++)++"),
+    ("ip", "[.]", r"(?<![0-9])[0-9]{1,3}+(?:\[\.\][0-9]{1,3}+){3}(?![0-9])"),
+    ("ip", ":", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+    ("ip", "::", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}+:){1,6}(?::[0-9A-Fa-f]{1,4}+){1,6}(?![0-9A-Za-z:])"),
+    ("card", "", r"(?<![0-9])[0-9]{4}(?:[.\x20_/]{1,2}[0-9]{4}){3}(?![0-9])"),
+    ("card", "", r"(?<![0-9])[0-9]{4}[.\x20_/-]{1,2}[0-9]{6}[.\x20_/-]{1,2}[0-9]{5}(?![0-9])"),
+    ("phone", "", r"(?<![0-9A-Za-z+])(?:\([0-9]{2,4}\)|0[0-9]{1,3}|[0-9]{3})[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]{3,5}(?![0-9])"),
 )
 #: Labelled sentences; the forms marked as held out are for the threshold alone.
 EXAMPLES, PRECISION, CONTEXT = 3000, 0.95, 24
@@ -84,13 +85,13 @@ def base_spans(d: DataFrame, t: str = "t") -> DataFrame:
 def proposals(d: DataFrame, t: str = "t") -> DataFrame:
     """Adds `g_`: array<struct<start,end,kind:int,x:array<double>>>, x the features of format and context."""
     names = d.columns
-    d = d.select(*names, *(spans.hits(F.col(t), p).alias(f"g{i}") for i, (_, p) in enumerate(GENERATORS)))
+    d = d.select(*names, *((F.when(F.contains(F.col(t), F.lit(needed)), spans.hits(F.col(t), p)).otherwise(F.array().cast("array<string>")) if needed else spans.hits(F.col(t), p)).alias(f"g{i}") for i, (_, needed, p) in enumerate(GENERATORS)))
 
     def proposed(i: int, kind: str, pattern: str) -> Column:
         at = spans.located(F.col(t), F.col(f"g{i}"), pattern, lambda m: F.lit(True))
         return F.transform(at, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind"), _features(F.col(t), s["start"], s["end"], i, kind).alias("x")))
 
-    every = [proposed(i, kind, p) for i, (kind, p) in enumerate(GENERATORS)]
+    every = [proposed(i, kind, p) for i, (kind, _, p) in enumerate(GENERATORS)]
     return d.select(*names, F.concat(*every).alias("g_"))
 
 
