@@ -24,6 +24,8 @@ KIND = "price predictor"
 INPUT = T.StructType([T.StructField(n, t) for n, t in [("category", T.StringType()), ("area_m2", T.DoubleType()), ("rooms", T.DoubleType()), ("floor", T.DoubleType()), ("total_floors", T.DoubleType()), ("land_area_sot", T.DoubleType()), ("location", T.StringType()), ("lat", T.DoubleType()), ("lng", T.DoubleType()), ("repair", T.DoubleType()), ("mortgage", T.DoubleType()), ("bill_of_sale", T.DoubleType()), ("building_type", T.StringType()), ("description", T.StringType())]])
 #: The columns of an answer.
 OUTPUT = T.StructType([T.StructField(n, t) for n, t in [("price", T.DoubleType()), ("price_low", T.DoubleType()), ("price_high", T.DoubleType()), ("trees_low", T.DoubleType()), ("trees_high", T.DoubleType()), ("premium", T.BooleanType()), ("score", T.DoubleType()), ("inside_margin", T.BooleanType()), ("models_agree", T.BooleanType()), ("warnings", T.ArrayType(T.StringType())), ("factors", T.ArrayType(T.StructType([T.StructField("feature", T.StringType()), T.StructField("percent", T.DoubleType())]))), ("violations", T.ArrayType(T.StringType()))]])
+#: What the gazetteer knows of a place; places up to which it is broadcast.
+FILLED, PLACES = ("district", "city", "tags", "lat", "lng"), 100_000
 #: Numbers whose plausible range is learned.
 RANGED = ["area_m2", "rooms", "floor", "total_floors", "land_area_sot"]
 
@@ -62,13 +64,7 @@ class PricePredictor:
         return cls(settings, design, forest, phi, (float(r["lo"] or 0.0), float(r["hi"] or 0.0)), threshold, places, bounds, numbers, base)
 
     def filled(self, listings: DataFrame) -> DataFrame:
-        """Listings with all INPUT columns, the features' missing ones from the gazetteer, and known_: whether the place is in it."""
-        d = listings.select(*(c for c in listings.columns if c not in INPUT.names), *((F.col(f.name) if f.name in listings.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in INPUT))
-        d = d.withColumn("location", text.tidy(F.col("location")))
-        g = F.broadcast(self.places.select(F.col("location").alias("place_"), *(F.col(c).alias(f"{c}_of_") for c in ("district", "city", "tags", "lat", "lng"))))
-        d = d.join(g, F.col("location") == F.col("place_"), "left")
-        both = F.col("lat").isNotNull() & F.col("lng").isNotNull()
-        return d.withColumns({"known_": F.col("place_").isNotNull(), "district": F.col("district_of_"), "city": F.col("city_of_"), "tags": F.coalesce("tags_of_", F.lit("")), "lat": F.when(both, F.col("lat")).otherwise(F.col("lat_of_")), "lng": F.when(both, F.col("lng")).otherwise(F.col("lng_of_"))}).drop("place_", *(f"{c}_of_" for c in ("district", "city", "tags", "lat", "lng")))
+        return filled(listings, self.places)
 
     def predict(self, listings: DataFrame, key: str, factors: int = 6) -> DataFrame:
         """key and OUTPUT of each listing. One that breaks a rule, an unknown location among them, gets its violations and nulls."""
@@ -132,6 +128,18 @@ class PricePredictor:
         return cls(settings, design, tree.Forest([trees[k] for k in sorted(trees)], n["key"], n["seed"]), phi, tuple(n["band"]), n["threshold"], tables["places"], bounds, n["honest"], n["baseline_log"])
 
 
+def filled(listings: DataFrame, places: DataFrame) -> DataFrame:
+    """Listings with all INPUT columns, the features' missing ones from the gazetteer, and known_: whether the place is in it. Coordinates
+    that are given as a pair stay. The gazetteer has a row for each place name; it is broadcast up to PLACES rows."""
+    d = listings.select(*(c for c in listings.columns if c not in INPUT.names), *((F.col(f.name) if f.name in listings.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in INPUT))
+    d = d.withColumn("location", text.tidy(F.col("location")))
+    g = places.select(F.col("location").alias("place_"), *(F.col(c).alias(f"{c}_of_") for c in FILLED))
+    g = F.broadcast(g) if places.limit(PLACES + 1).count() <= PLACES else g
+    d = d.join(g, F.col("location") == F.col("place_"), "left")
+    both = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    return d.withColumns({"known_": F.col("place_").isNotNull(), "district": F.col("district_of_"), "city": F.col("city_of_"), "tags": F.coalesce("tags_of_", F.lit("")), "lat": F.when(both, F.col("lat")).otherwise(F.col("lat_of_")), "lng": F.when(both, F.col("lng")).otherwise(F.col("lng_of_"))}).drop("place_", *(f"{c}_of_" for c in FILLED))
+
+
 def base_of(label: str) -> str:
     """'district=x' and 'rooms_missing' to the feature they come from; both areas are one, and so are both coordinates."""
     name = label.split("=")[0].removesuffix("_missing")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrane.plans import models, parsing, statistics
+from terrane.plans import models, parsing, statistics, study
 from terrane.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "models", "parsing", "statistics"]
+__all__ = ["ORACLE_SQL", "QUERIES", "models", "parsing", "statistics", "study"]
