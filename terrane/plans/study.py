@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.operators import clean, encode, errors, linear, metrics, predictor, serve, study, svm, tree
+from terrane.operators import clean, encode, errors, linear, metrics, predictor, report, serve, study, svm, tree
 from terrane.plans import parsing
 from terrane.plans.registry import Tables, query
 from terrane.plans.statistics import LOGS, SCORED, _logs, _scored
@@ -296,3 +296,33 @@ def error_summary(t: Tables) -> DataFrame:
     d = _logs(t)
     got = d.agg(F.avg(F.col("p") - F.col("y")).alias("bias"), F.avg((F.abs(F.col("p") - F.col("y")) <= 0.2).cast("double")).alias("within"))
     return got.select(F.inline(F.array(*(F.struct(F.lit(c).alias("metric"), F.lit("A").alias("task"), F.round(c, 6).alias("value")) for c in ("bias", "within")))))
+
+
+_SCORES = f"SELECT 'rmse' AS metric, cust % 3 AS model, sqrt(avg(pow(p - y, 2))) AS value FROM ({LOGS}) GROUP BY 2 UNION ALL SELECT 'r2', cust % 3, 1 - avg(pow(p - y, 2)) / var_pop(y) FROM ({LOGS}) GROUP BY 2"
+
+
+@query(f"WITH s AS ({_SCORES}), b AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY round(CASE WHEN metric = 'rmse' THEN -value ELSE value END, 10) DESC) = 1 AS best FROM s) SELECT metric, model, round(value, 6) AS value, best FROM b")
+def best_models(t: Tables) -> DataFrame:
+    """The best of each metric, of which less or more is better."""
+    y, p = F.col("y"), F.col("p")
+    d = _logs(t).groupBy((F.col("cust") % 3).alias("model")).agg(metrics.rmse(y, p).alias("rmse"), metrics.r2(y, p).alias("r2"))
+    long = d.select("model", F.inline(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("rmse", "r2")))))
+    return report.with_best(long, []).select("metric", "model", F.round("value", 6).alias("value"), "best")
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 3 <> 0 THEN 'no clear difference' WHEN (c_acctbal < 0) = (c_custkey % 2 = 0) THEN 'a better' ELSE 'b better' END AS verdict, CASE WHEN c_nationkey / 100.0 < 0.001 THEN 'very sure' WHEN c_nationkey / 100.0 < 0.01 THEN 'sure' WHEN c_nationkey / 100.0 < 0.05 THEN 'likely' ELSE 'open' END AS word FROM customer WHERE c_acctbal <> 0")
+def verdict_words(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    words = report.verdict(F.when(k % 2 == 0, "rmse").otherwise("f1"), F.col("c_acctbal"), k % 3 == 0)
+    return t.customer.where("c_acctbal <> 0").select(k.alias("k"), words.alias("verdict"), report.size_word(F.col("c_nationkey") / 100.0).alias("word"))
+
+
+@query(f"WITH g AS (SELECT grp, count(*) AS n, sqrt(avg(pow(p - y, 2))) AS rmse FROM ({LOGS}) GROUP BY 1 HAVING count(*) >= 30) SELECT arg_min(grp, rmse) AS strongest, round(min(rmse), 6) AS least, arg_max(grp, rmse) AS weakest, round(max(rmse), 6) AS largest, round(max(rmse) / min(rmse), 6) AS ratio FROM g")
+def group_extremes(t: Tables) -> DataFrame:
+    d = report.extremes(errors.by_group(_logs(t), F.col("grp"), "y", "p"))
+    return d.select("strongest", F.round("least", 6).alias("least"), "weakest", F.round("largest", 6).alias("largest"), F.round("ratio", 6).alias("ratio"))
+
+
+@query("SELECT CASE l_linenumber WHEN 4 THEN 'torpaq' END AS category, count(*) AS n FROM lineitem WHERE l_linenumber = 4 GROUP BY 1")
+def dropped_categories(t: Tables) -> DataFrame:
+    return errors.dropped_categories(parsing.listings(t), "kateqoriya")

@@ -74,6 +74,37 @@ def plus_minus(pair: tuple[float, float], digits: int = 3) -> str:
     return f"${pair[0]:.{digits}f} \\pm {pair[1]:.{digits}f}$"
 
 
+def signed(x: float | None, digits: int = 3) -> str:
+    return "--" if x is None or not math.isfinite(x) else f"${x:+.{digits}f}$"
+
+
+def scientific(x: float | None, digits: int = 1) -> str:
+    """1.5e-4 as a power of ten."""
+    if x is None or not math.isfinite(x):
+        return "--"
+    mantissa, exponent = f"{x:.{digits}e}".split("e")
+    return f"${mantissa} \\times 10^{{{int(exponent)}}}$"
+
+
+class Macros:
+    """LaTeX commands by name; TeX allows letters only, so digits are spelled out."""
+
+    _DIGITS = dict(zip("0123456789", ("Zero", "One", "Two", "Three", "Four", "Five", "Six", "Seven", "Eight", "Nine"), strict=True))
+
+    def __init__(self) -> None:
+        self.commands: dict[str, str] = {}
+
+    def add(self, name: str, value: object) -> None:
+        words = "".join(c if c.isalnum() else " " for c in name).split()
+        command = "".join(self._DIGITS.get(c, c) for c in "".join(w[:1].upper() + w[1:] for w in words))
+        if command in self.commands:
+            raise ValueError(f"defined twice: {command}")
+        self.commands[command] = str(value)
+
+    def text(self) -> str:
+        return "\n".join(f"\\newcommand{{\\{k}}}{{{v}}}" for k, v in self.commands.items())
+
+
 def tabular(columns: str, header: list[str], rows: list[list[str]]) -> str:
     line = lambda cells: " & ".join(cells) + r" \\"
     return "\n".join([rf"\begin{{tabular}}{{{columns}}}", r"\toprule", line(header), r"\midrule", *map(line, rows), r"\bottomrule", r"\end{tabular}"])
