@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrane.functions import fixed, numeric, text
+from terrane.functions.quantiles import quantile
 from terrane.operators import encode, serve, stats, study, svm, tree
 from terrane.operators.features import make_features
 from terrane.sources import files
@@ -51,7 +52,7 @@ class PricePredictor:
         honest = study.test_table(study.final_models(d, settings, ["forest", "svm_fourier_tier"]), ["forest", "svm_fourier_tier"], study.Settings(resamples=1))
         numbers = {f"{r['model']}.{r['metric']}": r["value"] for r in honest.collect()}
         (rows,) = study.tiers(d)
-        threshold = float(d.agg(F.median("price_azn")).first()[0])
+        threshold = quantile(d, F.col("price_azn")) or 0.0
         design = study.Design().fit(rows)
         train = design.transform(rows).withColumn("per_m2", F.col("log_price") - F.col("log_area")).cache()
         forest = tree.forest(train, design.names, "per_m2", "id_", trees=settings.trees, max_features=max(1, len(design.names) // 3), seed=settings.seed, task="regression", max_depth=settings.depth, min_leaf=1)
@@ -59,7 +60,7 @@ class PricePredictor:
         r = stats.conformal(train.withColumn("r_", F.col("per_m2") - forest.out_of_bag()), "r_").first()
         bounds = {x["column"]: (x["lo"], x["hi"]) for x in serve.ranges(rows, RANGED).collect()}
         places = serve.gazetteer(rows)
-        base = float(rows.agg(F.median("log_price")).first()[0])
+        base = quantile(rows, F.col("log_price")) or 0.0
         train.unpersist()
         return cls(settings, design, forest, phi, (float(r["lo"] or 0.0), float(r["hi"] or 0.0)), threshold, places, bounds, numbers, base)
 

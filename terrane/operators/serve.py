@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions import fixed, numeric
+from terrane.functions.quantiles import quantiles
 
 
 def violations(c: dict[str, Column]) -> Column:
@@ -32,8 +33,8 @@ def gazetteer(df: DataFrame) -> DataFrame:
 
 
 def ranges(df: DataFrame, columns: list[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
-    q = [F.struct(F.lit(c).alias("column"), F.percentile(c, F.lit(low)).alias("lo"), F.percentile(c, F.lit(high)).alias("hi")) for c in columns]
-    return df.agg(F.array(*q).alias("r")).select(F.inline("r"))
+    got = quantiles(df, {c: F.col(c) for c in columns}, [low, high])
+    return df.sparkSession.createDataFrame([(c, *got[c]) for c in columns], "column string, lo double, hi double")
 
 
 def warnings(df: DataFrame, bounds: dict[str, tuple[float, float]], known: Column) -> Column:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.functions import numbering
+from terrane.functions import numbering, quantiles
 from terrane.operators import clean, encode, explain, linear, metrics, stats, svm, tree
 from terrane.operators.features import make_features
 from terrane.sources import files, synthetic
@@ -287,3 +287,20 @@ def test_fourier_models(spark):
     assert right(ring.model, ring.transform(d)) > max(0.9, right(flat, d) + 0.1)
     wave = svm.rff_svr(["a"], 64, 1.0, lam=1e-4, steps=150, epsilon=0.05).fit(d, "v")
     assert wave.transform(d).agg(F.avg(F.abs(wave.model.predict() - F.col("v")))).first()[0] < 0.25
+
+
+def test_quantiles_in_two_passes(spark, monkeypatch):
+    """Brackets give what the plain percentile gives, ties, negatives and nulls included."""
+    r = np.random.default_rng(8)
+    v = np.concatenate([np.round(r.normal(size=4000), 2), np.full(1500, 0.25)])
+    d = spark.createDataFrame([(float(x), None if i % 3 else float(i)) for i, x in enumerate(v)], "a double, b double")
+    at = [0.0, 0.1, 0.333, 0.5, 0.9, 1.0]
+    columns = {"a": F.col("a"), "b": F.col("b")}
+    plain = quantiles.quantiles(d, columns, at)
+    monkeypatch.setattr(quantiles, "FEW", 10)
+    monkeypatch.setattr(quantiles, "ACCURACY", 200)
+    got = quantiles.quantiles(d, columns, at)
+    for c in columns:
+        assert got[c] == pytest.approx(plain[c])
+    assert plain["a"] == pytest.approx(np.quantile(v, at).tolist())
+    assert quantiles.quantile(d.limit(0), F.col("a")) is None
