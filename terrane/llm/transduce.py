@@ -18,6 +18,8 @@ NONE = float("-inf")
 #: States at which a table is cut back to the first two thirds, which frequent words have made as a rule; every RENEWED-th time it
 #: starts anew, as texts change. Symbols of a word that go through it.
 MEMORY, RENEWED, STEPS = 120_000, 64, 64
+#: Pairs of tokens that are known to be stable or not.
+PAIRS = 50_000
 #: Bytes of text that go through the table together, a longer text by itself.
 PORTION = 1 << 19
 #: A cell of the table: the next state plus one, times CELL, plus the change and half of CELL; 0 where none is known yet.
@@ -65,6 +67,7 @@ class Machine:
     def _reset(self) -> None:
         self.states.clear()
         self.pairs.clear()
+        self.counted: dict[tuple[int, ...], tuple[int, ...]] = {}
         self.made.clear()
         self.moves.clear()
         self.cells = np.zeros(self.room(), dtype=np.int32)
@@ -84,8 +87,6 @@ class Machine:
             del self.states[s]
         del self.made[kept:]
         self.moves.clear()
-        if len(self.pairs) > 2 * self.most:
-            self.pairs.clear()
         self.cells = np.append(self.cells[: kept * self.width], np.zeros(self.room() - kept * self.width, dtype=np.int32))
         for a in range(0, kept * self.width, 1 << 20):
             part = self.cells[a : a + (1 << 20)]
@@ -115,6 +116,8 @@ class Machine:
     def stable(self, a: str, b: str) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
             known = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return known
 
@@ -135,7 +138,8 @@ class Machine:
             raise AssertionError(f"no token ends here: {text!r}")
         k = next(k for k in range(len(text) + 1) if text[k:] in self.starts)  # the longest suffix that a piece starts with
         keep = len(text) - k
-        new = (self.starts[text[k:]], (*last[len(last) - keep :], token), (*(a - change for a in ago[len(ago) - keep :]), 0))
+        counts = (*(a - change for a in ago[len(ago) - keep :]), 0)
+        new = (self.starts[text[k:]], (*last[len(last) - keep :], token), self.counted.setdefault(counts, counts))
         return self._state(new), change
 
     def remembered(self, state: int, char: str) -> tuple[int, int]:
