@@ -190,14 +190,15 @@ def best_splits(df: DataFrame, features: list[str], sums: list[str], criterion:
     d = d.withColumn("gain", whole - (F.col("l_w") * side("l") + (F.col("all_w") - F.col("l_w")) * side("r")) / F.col("all_w"))
     middle = (F.col("v") + F.col("next")) / 2
     d = d.where((F.col("l_w") >= min_leaf) & (F.col("all_w") - F.col("l_w") >= min_leaf)).withColumn("threshold", F.when(middle >= F.col("next"), F.col("v")).otherwise(middle))
+    found = F.max_by(F.struct("threshold", "gain", *(F.col(f"l_{s}") for s in ("w", *sums))), F.struct(F.round("gain", 12), -F.col("threshold")))
+    d = d.groupBy(*keys).agg(found.alias("s"))  # a row for each node and feature
+    first = F.lit(1)
     if tried is not None and tried < len(features):
         draws = lambda i: hash32(seed, F.col("t"), F.col("node"), i)
-        before = F.size(F.filter(F.sequence(F.lit(0), F.lit(len(features) - 1)), lambda i: draws(i) < draws(F.col("fi"))))
-        d = d.withColumn("first_", (before < tried).cast("int"))
-    else:
-        d = d.withColumn("first_", F.lit(1))
-    best = F.max_by(F.struct(F.get(F.from_json(F.lit(json.dumps(features)), "array<string>"), F.col("fi")).alias("f"), "threshold", "gain", *(F.col(f"l_{s}") for s in ("w", *sums))), F.struct("first_", F.round("gain", 12), -F.col("fi"), -F.col("threshold")))
-    return d.groupBy("t", "node").agg(best.alias("s")).select("t", "node", "s.*")
+        first = (F.size(F.filter(F.sequence(F.lit(0), F.lit(len(features) - 1)), lambda i: draws(i) < draws(F.col("fi")))) < tried).cast("int")
+    name = F.get(F.from_json(F.lit(json.dumps(features)), "array<string>"), F.col("fi"))
+    best = F.max_by(F.struct(name.alias("f"), "s"), F.struct("first_", F.round("s.gain", 12), -F.col("fi"), -F.col("s.threshold")))
+    return d.withColumn("first_", first).groupBy("t", "node").agg(best.alias("b")).select("t", "node", "b.f", "b.s.*")
 
 
 def edges_of(df: DataFrame, features: list[str], buckets: int = BUCKETS) -> dict[str, list[float]]:

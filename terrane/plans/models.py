@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import fixed
 from terrane.operators import encode, explain, linear, stats, svm, tree
-from terrane.plans.registry import Tables, query
+from terrane.plans.registry import Tables, iterated, query
 from terrane.sources import synthetic
 
 #: What the SQL reads of the embeddings; label below 5 is class 0. The queries take all coordinates.
@@ -20,7 +20,7 @@ def _emb(t: Tables) -> tuple[DataFrame, list[str]]:
     d = t.embeddings
     dims = d.agg(F.max(F.size("embedding"))).first()[0] or 0
     cols = [f"e{i}" for i in range(dims)]
-    return d.select(F.col("vec_id").alias("id_"), *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(cols)), F.when(F.col("label") < 5, 0).otherwise(1).alias("y")), cols
+    return iterated(d.select(F.col("vec_id").alias("id_"), *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(cols)), F.when(F.col("label") < 5, 0).otherwise(1).alias("y"))), cols
 
 
 #: Distinct-valued, small features for one exact split.
@@ -112,7 +112,7 @@ def ridge_2d(t: Tables) -> DataFrame:
 def _lines(t: Tables) -> DataFrame:
     """Every priced line: id_ (equal lines of an order share it), quantity, discount, tax, price and its logarithm."""
     d = t.lineitem.where("l_extendedprice > 0").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate").alias("id_"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), F.col("l_extendedprice").alias("price"))
-    return d.withColumn("log_price", F.ln("price"))
+    return iterated(d.withColumn("log_price", F.ln("price")))
 
 
 #: Features of a line.
@@ -140,7 +140,6 @@ def kmeans_lloyd_step(t: Tables) -> DataFrame:
 @query()
 def kmeans_fit(t: Tables) -> DataFrame:
     d, cols = _emb(t)
-    d = d.cache()
     m = linear.KMeans(cols, 4, n_init=1, max_iter=15).fit(d)
     return d.groupBy(m.predict().alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("share"))
 
@@ -169,7 +168,6 @@ def pegasos_fullbatch_step(t: Tables) -> DataFrame:
 @query()
 def pegasos_fit(t: Tables) -> DataFrame:
     d, cols = _emb(t)
-    d = d.cache()
     m = svm.PegasosSVM(cols, lam=0.01, steps=10, average=True).fit(d, "y")
     return d.select("id_", F.round(m.score(), 6).alias("score"), m.predict().alias("label"))
 
@@ -182,7 +180,6 @@ def pegasos_grid(t: Tables) -> DataFrame:
 @query()
 def svr_fit(t: Tables) -> DataFrame:
     d, cols = _emb(t)
-    d = d.cache()
     m = svm.PegasosSVR(cols[1:], lam=0.01, steps=10).fit(d, "e0")
     return m.tube(d, "e0").withColumn("inside", F.round("inside", 6))
 
@@ -233,7 +230,6 @@ def boosting_fit(t: Tables) -> DataFrame:
 @query()
 def perm_importance(t: Tables) -> DataFrame:
     d, cols = _emb(t)
-    d = d.cache()
     m = _tree(d, cols, 3)
     score = lambda x: x.agg(F.avg((m.predict() == F.col("y")).cast("double"))).first()[0]
     got = explain.importance(d, "id_", {c: [c] for c in cols}, score, repeats=2, higher_is_better=True)
