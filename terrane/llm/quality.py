@@ -141,17 +141,17 @@ def estimate(counts: Mapping[str, int], rounds: int = 200) -> LabelModel:
 
 
 def fitted(featured: DataFrame) -> LabelModel:
-    """From all rows; the patterns that reach the driver are 2 ** 8 * 3 ** 3 at most."""
-    return estimate({r["v"]: r["n"] for r in featured.select(votes().alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()})
+    """From v_, the votes, of all rows; the patterns that reach the driver are 2 ** 8 * 3 ** 3 at most."""
+    return estimate({r["v_"]: r["n"] for r in featured.groupBy("v_").agg(F.count(F.lit(1)).alias("n")).collect()})
 
 
 def judged(docs: DataFrame, carried: list[str] | None = None, model: LabelModel | None = None) -> DataFrame:
     """row_ (the carried columns, by default all), q_, base_failed, posterior, kept."""
-    d = written(with_features(docs, docs.columns if carried is None else carried))
+    d = written(with_features(docs, docs.columns if carried is None else carried).withColumn("v_", votes()))
     model = model or fitted(d)
     q = F.col("q_")
     failed = (q["n_words"] < 20) | (100 * q["n_repeat_words"] > 30 * q["n_words"])
-    d = d.select("row_", "q_", failed.alias("base_failed"), model.column(votes()).alias("posterior"))
+    d = d.select("row_", "q_", failed.alias("base_failed"), model.column(F.col("v_")).alias("posterior"))
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
 
 
