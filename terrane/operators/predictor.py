@@ -48,9 +48,9 @@ class PricePredictor:
     def fit(cls, cleaned: DataFrame, key: str, settings: study.Settings | None = None) -> PricePredictor:
         """Test numbers come from models of the development rows; the models that serve are fitted on all rows."""
         settings = settings or study.Settings.make()
-        d = study.prepared(cleaned, key, settings.seed)
-        honest = study.test_table(study.final_models(d, settings, ["forest", "svm_fourier_tier"]), ["forest", "svm_fourier_tier"], study.Settings(resamples=1))
-        numbers = {f"{r['model']}.{r['metric']}": r["value"] for r in honest.collect()}
+        d = study.prepared(cleaned, key, settings.seed).cache()
+        honest = ["forest", "svm_fourier_tier"]
+        numbers = {f"{m}.{k}": v for m, k, v in study.numbers(study.final_models(d, settings, honest), honest)}
         (rows,) = study.tiers(d)
         threshold = quantile(d, F.col("price_azn")) or 0.0
         design = study.Design().fit(rows)
@@ -60,8 +60,10 @@ class PricePredictor:
         r = stats.conformal(train.withColumn("r_", F.col("per_m2") - forest.out_of_bag()), "r_").first()
         bounds = {x["column"]: (x["lo"], x["hi"]) for x in serve.ranges(rows, RANGED).collect()}
         places = serve.gazetteer(rows)
+        places = rows.sparkSession.createDataFrame(places.collect(), places.schema) if places.limit(PLACES + 1).count() <= PLACES else places  # a row for each place
         base = quantile(rows, F.col("log_price")) or 0.0
         train.unpersist()
+        d.unpersist()
         return cls(settings, design, forest, phi, (float(r["lo"] or 0.0), float(r["hi"] or 0.0)), threshold, places, bounds, numbers, base)
 
     def filled(self, listings: DataFrame) -> DataFrame:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from terrane.operators import clean, encode, errors, linear, metrics, predictor, report, serve, study, svm, tree
 from terrane.plans import parsing
-from terrane.plans.registry import Tables, query
+from terrane.plans.registry import Tables, iterated, query
 from terrane.plans.statistics import LOGS, SCORED, _logs, _scored
 
 #: Sizes of the registered runs: every row, small models.
-SMALL = study.Settings(resamples=1000, folds=3, trees=4, rounds=4, depth=3, steps=15, fourier=64)
+SMALL = study.Settings(resamples=1000, folds=3, trees=3, rounds=3, depth=3, steps=8, fourier=64)
 _HASH = "('0x' || substr(md5(concat({0}, '|', {1})), 1, 8))::BIGINT"
 
 
@@ -22,6 +22,10 @@ def cleaned(t: Tables) -> DataFrame:
     return clean.clean(parsing.listings(t), order).withColumnRenamed(f"o{len(order) - 1}_", "key_")
 
 
+def ready(t: Tables) -> DataFrame:
+    return iterated(study.prepared(cleaned(t), "key_"))
+
+
 _SPLIT = f"""{parsing._STAGED}, k AS (SELECT estate_rel_url AS key, price_azn, area_m2 FROM staged WHERE step = 9), e AS (SELECT quantile_cont(ln(price_azn), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM k),
 s AS (SELECT k.*, len(list_filter(q, lambda x: x <= ln(price_azn))) AS stratum FROM k, e), r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {_HASH.format('key', 42)}, key) AS place, count(*) OVER (PARTITION BY stratum) AS n FROM s),
 split AS (SELECT *, CASE WHEN place <= round_even(n * 0.15, 0) THEN 'test' WHEN place <= round_even(n * 0.15, 0) + round_even(n * 0.15, 0) THEN 'val' ELSE 'train' END AS split FROM r)"""
@@ -47,25 +51,19 @@ def study_tiers(t: Tables) -> DataFrame:
 @query()
 def study_test(t: Tables) -> DataFrame:
     """Models refitted on the development rows, the test scored once, with intervals."""
-    names = ["median", "ridge", "tree", "tree_tier", "svm_fourier_tier"]
-    return study.test_table(study.final_models(study.prepared(cleaned(t), "key_"), SMALL, names).cache(), names, SMALL)
+    names = ["median", "ridge", "tree", "svm_fourier_tier"]
+    return study.test_table(study.final_models(ready(t), SMALL, names).cache(), names, SMALL)
 
 
 @query()
 def study_cv(t: Tables) -> DataFrame:
-    return study.over_folds(study.cross_validate(study.prepared(cleaned(t), "key_"), SMALL, ["median", "ridge"]))
-
-
-@query()
-def study_comparisons(t: Tables) -> DataFrame:
-    names = ["median", "ridge", "tree"]
-    return study.comparisons(study.final_models(study.prepared(cleaned(t), "key_"), SMALL, names).cache(), SMALL)
+    return study.over_folds(study.cross_validate(ready(t), SMALL, ["median", "ridge"]))
 
 
 @query()
 def predicted_prices(t: Tables) -> DataFrame:
     """A predictor fitted on the cleaned listings answers for each of them."""
-    d = cleaned(t)
+    d = iterated(cleaned(t))
     return predictor.PricePredictor.fit(d, "key_", SMALL).predict(d, "key_")
 
 
