@@ -101,8 +101,8 @@ ORACLE_SQL: dict[str, str] = {
 p AS (SELECT page_id, translate(h, '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, path FROM u), r(h, pre, verdict) AS (VALUES {_RULES}),
 m AS (SELECT page_id, arg_max(r.h || r.pre, len(r.h || r.pre)) AS rule, arg_max(verdict, len(r.h || r.pre)) AS verdict FROM p JOIN r ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.pre) GROUP BY page_id)
 SELECT p.page_id, host, path, rule, verdict FROM p LEFT JOIN m ON p.page_id = m.page_id""",
-    "pii_base": f"""WITH m AS (SELECT doc_id, len(regexp_extract_all({_T}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email, regexp_extract_all({_T}, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
-list_transform(regexp_extract_all({_T}, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card, list_transform(regexp_extract_all({_T}, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phone FROM documents)
+    "pii_base": f"""WITH m AS (SELECT doc_id, len(regexp_extract_all({_T}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+')) AS n_email, regexp_extract_all({_T}, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)') AS ip,
+list_transform(regexp_extract_all({_T}, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card, list_transform(regexp_extract_all({_T}, '\\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phone FROM documents)
 SELECT doc_id, n_email::BIGINT AS n_email, len(list_filter(ip, lambda x: list_bool_and(list_transform(string_split(x, '.'), lambda p: len(ltrim(p, '0')) <= 3 AND coalesce(TRY_CAST(p AS HUGEINT), 999) <= 255))))::BIGINT AS n_ip,
 len(list_filter(card, lambda d: len(d) BETWEEN 14 AND 19 AND {_LUHN}))::BIGINT AS n_card, len(list_filter(phone, lambda d: len(d) BETWEEN 10 AND 15))::BIGINT AS n_phone FROM m""",
     "secret_base": f"""SELECT doc_id, len(list_filter(regexp_extract_all({_T}, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: len(x) >= 8))::BIGINT AS n_assign,
