@@ -6,8 +6,8 @@ most SAMPLE of either by hash, and SEEDS made-up URLs that show what no rule spe
 hyphens, digits and parameters against ordinary ones. A caller's own labels take the place of the weak allows.
 
 Features: lengths, depth, digit ratio, entropy, parameter counts, hyphens, and suffix statistics: how many of all pages share the
-last label or the last two labels of a host, and the smoothed share of them that the rules block. All pages are counted; the
-SUFFIXES most frequent suffixes are kept, others count as never seen.
+last label or the last two labels of a host, and the smoothed share of them that the rules block. All pages are counted, and every
+suffix of LEAST pages or more has its numbers; the numbers of a rarer one say little, and it counts as never seen.
 
 A quarter of the hosts is held out. The threshold is the lowest that reaches PRECISION there, and never below a chance of one half;
 if none does, the trees block nothing. `quality` gives the held-out figures.
@@ -30,7 +30,7 @@ from terrane.llm.boosting import Boosted, auc, calibrated, fit, platt
 #: (host, path, verdict); a host stands for its subdomains too.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 SAMPLE, SEEDS = 4000, 1200
-#: Suffixes kept, each of LEAST pages or more; pages that a suffix's rate is drawn towards the mean with; precision on held-out hosts.
+#: The most frequent suffixes, which are joined by broadcast; pages from which on a suffix has numbers; pages that a suffix's rate is drawn towards the mean with; precision on held-out hosts.
 SUFFIXES, LEAST, SMOOTHING, PRECISION = 10_000, 20, 50.0, 0.95
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,25 +67,40 @@ def suffixes_of(host: Column) -> list[Column]:
     return [F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)]
 
 
-def suffixes(decided: DataFrame) -> tuple[DataFrame, float]:
-    """(s, n, rate): the most frequent suffixes, SUFFIXES rows at most, over all pages: their pages and the smoothed share of them that a
-    rule blocks; and that share of all pages."""
+@dataclass(frozen=True)
+class Known:
+    """(s, n, rate) of suffixes over all pages: their pages and the smoothed share of them that a rule blocks. often: the SUFFIXES most
+    frequent ones; every: all of them, or None where `often` has all. mean: that share of all pages."""
+
+    often: DataFrame
+    every: DataFrame | None
+    mean: float
+
+
+def suffixes(decided: DataFrame) -> Known:
     blocked = F.coalesce((F.col("r.verdict") == "block").cast("double"), F.lit(0.0))
     mean = decided.agg(F.coalesce(F.avg(blocked), F.lit(0.0))).first()[0]
     each = decided.select(F.explode(F.array_distinct(F.array(*suffixes_of(F.col("host"))))).alias("s"), blocked.alias("b"))
     counts = each.groupBy("s").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("b").alias("b"))
     rate = (F.col("b") + F.lit(SMOOTHING * mean)) / (F.col("n") + SMOOTHING)
-    return counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "s").limit(SUFFIXES).select("s", F.log1p("n").alias("n"), rate.alias("rate")), mean
+    kept = counts.where(F.col("n") >= LEAST)
+    numbers = lambda x: x.select("s", F.log1p("n").alias("n"), rate.alias("rate"))
+    more = kept.limit(SUFFIXES + 1).count() > SUFFIXES
+    return Known(numbers(kept.orderBy(F.desc("n"), "s").limit(SUFFIXES)), numbers(kept) if more else None, mean)
 
 
-def with_suffixes(d: DataFrame, known: tuple[DataFrame, float]) -> DataFrame:
-    """d (host) with st_: the numbers of its two suffixes."""
-    table, mean = known
+def with_suffixes(d: DataFrame, known: Known) -> DataFrame:
+    """d (host) with st_: the numbers of its two suffixes. Those that aren't among the most frequent come by a shuffle; rows that have
+    theirs already are dealt evenly there, by keys that no host has."""
     names = d.columns
+    of = lambda table, *to: table.select(*(F.col(c).alias(n) for c, n in zip(("s", "n", "rate"), to, strict=True)))
     for i, s in enumerate(suffixes_of(F.col("host"))):
-        of = F.broadcast(table.select(F.col("s").alias(f"s{i}_"), F.col("n").alias(f"n{i}_"), F.col("rate").alias(f"rate{i}_")))
-        d = d.join(of, s == F.col(f"s{i}_"), "left")
-    return d.select(*names, F.array(*(c for i in range(2) for c in (F.coalesce(f"n{i}_", F.lit(0.0)), F.coalesce(f"rate{i}_", F.lit(mean))))).alias("st_"))
+        d = d.join(F.broadcast(of(known.often, f"s{i}_", f"n{i}_", f"rate{i}_")), s == F.col(f"s{i}_"), "left")
+        if known.every is not None:
+            asked = F.when(F.col(f"s{i}_").isNull(), s).otherwise(F.concat(F.lit("/"), F.xxhash64(*names).cast("string")))
+            d = d.withColumn("asked_", asked).join(of(known.every, "s_", "n_", "rate_"), F.col("asked_") == F.col("s_"), "left")
+            d = d.withColumns({f"n{i}_": F.coalesce(f"n{i}_", "n_"), f"rate{i}_": F.coalesce(f"rate{i}_", "rate_")}).drop("asked_", "s_", "n_", "rate_")
+    return d.select(*names, F.array(*(c for i in range(2) for c in (F.coalesce(f"n{i}_", F.lit(0.0)), F.coalesce(f"rate{i}_", F.lit(known.mean))))).alias("st_"))
 
 
 def features(url: Column, host: Column, path: Column, stats: Column) -> Column:
@@ -152,7 +167,7 @@ def decided(pages: DataFrame) -> DataFrame:
     return d.withColumn("r", rule_for(F.col("host"), F.col("path")))
 
 
-def fitted(rows: DataFrame, known: tuple[DataFrame, float], labelled: DataFrame | None = None, sample: int = SAMPLE) -> Fitted:
+def fitted(rows: DataFrame, known: Known, labelled: DataFrame | None = None, sample: int = SAMPLE) -> Fitted:
     """rows: of decided(); known: of suffixes(); labelled: (url, block 0 or 1) in place of the weak allows."""
     host, path = host_and_path(F.col("url"))
     by_hash = lambda d: d.orderBy(F.xxhash64("url"), "url", "block").limit(sample)

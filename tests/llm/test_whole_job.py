@@ -23,6 +23,18 @@ def test_url_trees_see_all_pages(spark, tmp_path, monkeypatch):
     assert len(seen["y"]) > 0.6 * (made + len(urls)) and set(seen["y"]) == {0.0, 1.0}
 
 
+def test_every_suffix_has_its_numbers(spark, monkeypatch):
+    """Beyond the most frequent suffixes the others come by a shuffle, with the same numbers."""
+    urls = [f"http://h{i}.s{k}.t{k}/es/" for k in range(5) for i in range(20 + k)] + ["http://a.rare.top/"] * 3 + [None] * 2
+    rows = url_filter.decided(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    numbers = lambda: {r["page_id"]: tuple(r["st_"]) for r in url_filter.with_suffixes(rows, url_filter.suffixes(rows)).collect()}
+    whole = numbers()
+    monkeypatch.setattr(url_filter, "SUFFIXES", 2)
+    assert numbers() == whole
+    assert [whole[i][0] for i in range(110)] == [np.log1p(20 + k) for k in range(5) for _ in range(20 + k)]
+    assert [whole[i][2] for i in range(110)] == [whole[i][0] for i in range(110)] and whole[110][0] == whole[113][0] == 0
+
+
 def test_no_word_decides_the_seeds():
     """No word of a bad seed's host is told apart: words are made in the same way for both classes."""
     hosts = [(u.split("/")[2], bad) for u, bad in url_filter.seeds()]
