@@ -4,7 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terrane.functions import text
 from terrane.operators import clean, encode, errors, metrics, predictor, study, svm
+from terrane.plans import parsing
+from terrane.plans import study as study_plans
+from terrane.plans.registry import Tables
 from terrane.sources import synthetic
 
 FAST = study.Settings(resamples=100, folds=2, trees=2, rounds=2, depth=2, steps=8, fourier=32)
@@ -130,3 +134,35 @@ def test_six_metrics(spark):
     r = metrics.classification_metrics(d, "y", "p", "s").first()
     assert r["accuracy"] == 0.5 and r["f1"] == 0.5 and r["roc_auc"] == 0.75 and set(r.asDict()) == {"accuracy", "precision", "recall", "f1", "roc_auc", "average_precision"}
     assert svm.rate("constant", 5, 1.0, 0.3) == 0.3
+
+
+def test_cleaning_shuffles_twice_and_keeps_what_the_stages_keep(spark, small):
+    raw = parsing.listings(Tables(spark, small))
+    got = clean.clean(raw, parsing.ORDER)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [row_number") == 2
+    want = clean.staged(raw, parsing.ORDER).where(F.col("step_") == len(clean.STEPS) - 1)
+    want = clean.nullified(want).select(got.columns)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+
+
+def test_prices_are_kept(spark, small):
+    """What reads the divided listings again doesn't clean them again."""
+    for d in (study_plans.prices(Tables(spark, small)), study_plans.ready(Tables(spark, small))):
+        assert d.storageLevel.useMemory and d.storageLevel.useDisk
+        assert "Relation [l_orderkey" not in d.where("split = 'test'")._jdf.queryExecution().withCachedData().toString()
+    spark.catalog.clearCache()
+
+
+def test_both_ways_read_a_number_alike(spark):
+    texts = ["12 ", "-3", "120 m²", "1 000", "1,5", "1,234,567", "12.5 sot", "x", "", None, "5-", "5 m-7", "1e5", "1.5.", " 7", "3\n", "12-15", "7 000", "8.", "-1 .5", "9 ²"]
+    d = spark.createDataFrame([(s,) for s in texts], "s string")
+    assert all(r[0] == r[1] for r in d.select(text.parse_number(F.col("s")), text._parse_number(F.col("s"))).collect())
+
+
+def test_scope_is_known_without_all_rows(spark):
+    """A table has categories if a latest row has one; an older row's doesn't count."""
+    rows = [("a", "2020", "yeni tikili", "90000"), ("a", "2021", None, "90000"), ("b", "2020", None, "80000")]
+    made = lambda more: spark.createDataFrame([(k, w, c, p, f"{i + 50} m2") for i, (k, w, c, p) in enumerate(rows + more)], "estate_rel_url string, scraped_at string, kateqoriya string, qiymet string, sahe string")
+    order = ["estate_rel_url", "scraped_at", "kateqoriya", "qiymet", "sahe"]
+    assert clean.clean(made([]), order).count() == 2
+    assert clean.clean(made([("c", "2020", "yeni tikili", "70000")]), order).count() == 1
