@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions import text
-from terrane.operators import clean, encode, errors, metrics, predictor, study, svm
+from terrane.operators import clean, encode, errors, metrics, predictor, stats, study, svm, tree
 from terrane.plans import parsing
 from terrane.plans import study as study_plans
 from terrane.plans.registry import Tables
@@ -166,3 +166,41 @@ def test_scope_is_known_without_all_rows(spark):
     order = ["estate_rel_url", "scraped_at", "kateqoriya", "qiymet", "sahe"]
     assert clean.clean(made([]), order).count() == 2
     assert clean.clean(made([("c", "2020", "yeni tikili", "70000")]), order).count() == 1
+
+
+def test_split_moves_no_row(spark):
+    """A row's side is a comparison with where the shares end; equal keys go the long way."""
+    d = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("id_"), (F.col("id") % 10).cast("int").alias("stratum"), F.exp(F.col("id") % 97 + 1).alias("price_azn"))
+    got = study.divided(d)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.exceptAll(encode.with_split(encode.with_strata(d, "price_azn"), "id_").select(got.columns)).isEmpty()
+    same = d.withColumn("id_", F.lit(None).cast("string"))
+    sizes = lambda x: sorted(tuple(r) for r in x.groupBy("stratum", "split").count().collect())
+    assert sizes(encode.with_split_at(same, "id_")) == sizes(encode.with_split(same, "id_"))
+    assert encode.with_split_at(d.limit(0), "id_").count() == 0
+
+
+def test_intervals_of_all_models_in_one_pass(spark):
+    """What one model at a time gives, without a row for each resample."""
+    d = spark.range(700).select(F.col("id").cast("string").alias("id_"), F.rand(1).alias("log_price"), F.rand(2).alias("m"), (F.rand(3) < 0.4).cast("int").alias("tier"), (F.rand(4) < 0.4).cast("int").alias("s_label"), F.rand(5).alias("s")).cache()
+    w = F.col("weight")
+    got = study.intervals(d, ["m", "s"], FAST)
+    for n, metric in (("m", metrics.rmse(F.col("log_price"), F.col("m"), w)), ("s", study.f1(F.col("tier"), F.col("s_label"), w))):
+        want = stats.bootstrap_ci(d, "id_", metric, FAST.resamples, seed=FAST.seed).first()
+        assert got[n] == pytest.approx((want["lo"], want["hi"]), abs=1e-12)
+    assert study.intervals(d.limit(0), ["m"], FAST) == {"m": (None, None)}
+
+
+def test_kept_rows_are_planned_from_themselves(spark, small):
+    """Jobs on kept rows don't carry the plan of the cleaning."""
+    d = study_plans.ready(Tables(spark, small))
+    assert d._jdf.queryExecution().analyzed().toString().count("\n") < 5
+    spark.catalog.clearCache()
+
+
+def test_driver_and_windows_find_the_same_splits(spark, monkeypatch):
+    d = spark.range(4000).select(F.col("id").cast("string").alias("id_"), F.when(F.rand(1) < 0.1, None).otherwise(F.floor(F.rand(2) * 9)).alias("a"), F.rand(3).alias("b"), (F.rand(4) < 0.5).cast("int").alias("c")).withColumn("y", F.coalesce("a", F.lit(3)) + F.sin(9 * F.col("b")) + F.col("c")).cache()
+    grown = lambda: [[(n.feature, n.threshold, n.left, n.n) for n in t.nodes] for t in tree.forest(d, ["a", "b", "c"], "y", "id_", trees=2, task="regression", max_depth=3).trees]
+    one = grown()
+    monkeypatch.setattr(tree, "CELLS", 0)
+    assert one == grown() and len(one[0]) > 5
